@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +29,21 @@ def get_spark(app: str = "ferrule", cpus: str = "*", **conf: str) -> SparkSessio
     return builder.config(map=base | conf).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context, so that they need no installed copy."""
+    context = spark.sparkContext
+    if getattr(context, "_ferrule_shipped", False):
+        return
+    root, d = Path(__file__).resolve().parent, tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, d, ignore_errors=True)  # the context serves the archive as long as it lives
+    shutil.copytree(root, Path(d, "src", root.name), ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{d}/{root.name}", "zip", f"{d}/src"))
+    context._ferrule_shipped = True
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a test directory; the path may live in any store that Spark reads."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,4 +85,4 @@ def drop_staged(spark: SparkSession) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df, from file sizes; an upper guide for partition counts, never for results."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
