@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import decontaminate, sharding
+from ferrule.llm import decontaminate, sharding, simhash, substring
 from ferrule.session import load
 
 
@@ -15,6 +15,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(load(spark, sf_dir, "documents").select("doc_id"), "doc_id", table)
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(load(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (load(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return decontaminate.judge(docs, items).drop("text_hash")
@@ -22,6 +30,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_substring": op2_substring,
+    "op4_simhash": op4_simhash,
     "op9_decontamination": op9_decontamination,
 }
 
@@ -61,4 +71,16 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit.n, 0)::BIGINT AS n_hi
 FROM w LEFT JOIN n_hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-ORACLES = {"op1_sharding": OP1_SQL, "op9_decontamination": OP9_SQL}
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, hash(list_slice(w, i, i + 12)) AS h, md5_number(array_to_string(list_slice(w, i, i + 12), ' ')) AS m FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+least AS (SELECT h, m, min(doc_id) AS least FROM g GROUP BY h, m),
+gone AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN least USING (h, m) WHERE least < doc_id) GROUP BY doc_id),
+gone_at AS (SELECT doc_id, unnest(p) AS p, true AS gone FROM gone),
+one AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM one LEFT JOIN gone_at USING (doc_id, p) WHERE gone IS NULL GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op2_substring": OP2_SQL, "op1_sharding": OP1_SQL, "op9_decontamination": OP9_SQL}
