@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import decontaminate, sharding, simhash, substring
+from ferrule.llm import decontaminate, matroska, packing, sharding, simhash, substring, urls
 from ferrule.session import load
 
 
@@ -19,10 +20,22 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(load(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(load(spark, sf_dir, "pages")).drop("terms")
+
+
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digests(load(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (load(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return decontaminate.judge(docs, items).drop("text_hash")
@@ -31,7 +44,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_substring": op2_substring,
+    "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
+    "op5_urls": op5_urls,
+    "op6_matroska": op6_matroska,
     "op9_decontamination": op9_decontamination,
 }
 
@@ -83,4 +99,16 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op2_substring": OP2_SQL, "op1_sharding": OP1_SQL, "op9_decontamination": OP9_SQL}
+_TERMS = {**urls.SOFT, **dict.fromkeys(urls.STRICT, urls.SOFT_LIMIT)}
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
+OP5_SQL = rf"""
+WITH parts AS (
+  SELECT row_number() OVER () AS n, page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+rules(v, h, p) AS (VALUES {_RULES}),
+best AS (SELECT n, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM parts, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n)
+SELECT page_id, host, path, rule, CASE WHEN v IS NOT NULL THEN v WHEN {" + ".join(f"{w} * regexp_matches(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9]){t}($|[^a-z0-9])')::INT" for t, w in _TERMS.items())} >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+FROM parts LEFT JOIN best USING (n)
+"""
+
+ORACLES = {"op5_urls": OP5_SQL, "op2_substring": OP2_SQL, "op1_sharding": OP1_SQL, "op9_decontamination": OP9_SQL}
