@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import decontaminate, matroska, packing, sharding, simhash, substring, urls
+from ferrule.llm import decontaminate, matroska, packing, pii, sharding, simhash, substring, urls
 from ferrule.session import load
 
 
@@ -41,6 +41,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(docs, items).drop("text_hash")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_substring": op2_substring,
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_urls": op5_urls,
     "op6_matroska": op6_matroska,
     "op9_decontamination": op9_decontamination,
+    "op10_pii": op10_pii,
 }
 
 
