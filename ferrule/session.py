@@ -10,6 +10,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A side is broadcast only if its measured or estimated size is at most this.
 BROADCAST_BYTES = 32 << 20
@@ -73,6 +74,12 @@ def stage(df: DataFrame, name: str = "stage", partition_by: str | None = None) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df staged, with a broadcast hint if it has at most so many rows; else Spark joins it by shuffle."""
+    df = stage(df, "side")
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete what stage() left; for the end of a long session, when no staged frame is used any more."""
     jvm = spark.sparkContext._jvm
