@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.session import stage
+from ferrule.session import broadcast_if_small, stage
 
 #: Fixed values of the contract: window length, separators, and a document is contaminated from 1 word in 20.
 SIZE = 13
@@ -30,6 +30,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHARE = 20
 #: Windows (of at most SIZE words each) that may be broadcast: some 100 MB at the worst, 20,000 items and more.
 MAX_BROADCAST_WINDOWS = 200_000
+#: Rows of (doc_id, text hash) that may be broadcast.
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 
@@ -107,5 +109,6 @@ def judge(documents: DataFrame, items: DataFrame, size: int = SIZE, share: int =
 def clean(documents: DataFrame, items: DataFrame, **kw: int) -> DataFrame:
     """The documents, with all their columns, that are not contaminated."""
     bad = judge(documents, items, **kw).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
+    bad = broadcast_if_small(bad, MAX_BROADCAST_ROWS)
     same = documents["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(documents["text"]) == bad["_h"])
     return documents.join(bad, same, "left_anti")

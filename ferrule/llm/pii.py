@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.session import stage
+from ferrule.session import broadcast_if_small, stage
 
 #: Fixed values of the contract, in its order.
 KINDS = ("email", "ip", "card", "phone")
@@ -155,14 +155,8 @@ def discovered(scanned: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.concat_ws(":", "kind", "start", "end")).alias("found"))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its measured row count allows it."""
-    df = stage(df, "found")
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
-
-
 def _with(left: DataFrame, found: DataFrame) -> DataFrame:
-    right = _bounded(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "found"))
+    right = broadcast_if_small(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "found"), MAX_BROADCAST_ROWS)
     return left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left["text_hash"] == right["_h"]), "left").drop("_id", "_h")
 
 

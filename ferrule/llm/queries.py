@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import decontaminate, matroska, packing, pii, sharding, simhash, substring, urls
+from ferrule.llm import decontaminate, language, matroska, packing, pii, sharding, simhash, substring, toxicity, urls
 from ferrule.session import load
 
 
@@ -36,6 +36,14 @@ def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(load(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.of_documents(load(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (load(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return decontaminate.judge(docs, items).drop("text_hash")
@@ -52,6 +60,8 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_urls": op5_urls,
     "op6_matroska": op6_matroska,
+    "op7_language": op7_language,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
 }

@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 
 from ferrule.llm import text as tx
 from ferrule.llm.components import components
-from ferrule.session import stage
+from ferrule.session import broadcast_if_small, stage
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 SHARED = 8 - MAX_BITS  # positional bytes that a linked pair shares at least
 POSITIONS, KEY = 7, 4  # of any 7 positions, a linked pair shares 4 at least
 BLOCK, LONG = 1024, 8192
+#: Ids of removed documents that may be broadcast.
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def fingerprints_of(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -160,6 +162,6 @@ def keep_one(documents: DataFrame) -> DataFrame:
 
     Rows that share an id are one document and stay or go together. Rows without id can't be named and all stay.
     """
-    kept = near_duplicates(documents).where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
-    named = documents.join(kept, documents["doc_id"] == kept["_keep"], "left_semi")
-    return named.union(documents.where(F.col("doc_id").isNull()))
+    named = near_duplicates(documents).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = broadcast_if_small(named.where("not stays").select(F.col("doc_id").alias("_gone")), MAX_BROADCAST_ROWS)
+    return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
