@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ferrule.plans import aggregates
+from ferrule.plans import aggregates, joins, scans
 
-_MODULES = (aggregates,)
+_MODULES = (scans, joins, aggregates)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
