@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ferrule.plans import aggregates, joins, scans
+from ferrule.plans import aggregates, changes, joins, scalars, scans, sets, windows
 
-_MODULES = (scans, joins, aggregates)
+_MODULES = (scans, joins, aggregates, windows, sets, scalars, changes)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

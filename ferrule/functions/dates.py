@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -197,7 +198,6 @@ def difference(a, b) -> str:
 
 
 def timediff(a: Column, b: Column, kind: str = "string") -> Column:
-    import pandas as pd
 
     @F.pandas_udf("string")
     def apply(x: pd.Series, y: pd.Series) -> pd.Series:

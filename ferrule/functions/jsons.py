@@ -11,6 +11,7 @@ import json as _json
 import re
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -299,7 +300,6 @@ def model(v: Any) -> Any:
 
 def _rows(kind: str, function, *columns: Column) -> Column:
     """A row function on Python values in an Arrow batch. A NULL first argument gives NULL."""
-    import pandas as pd
 
     @F.pandas_udf(kind)
     def apply(*series: pd.Series) -> pd.Series:
@@ -357,7 +357,7 @@ def json_quote(x: Column, kind: str = "string") -> Column:
 
 def _quoted(x: Column) -> Column:
     """A text as a JSON string, by the JVM: the value of a one-field object."""
-    return F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return F.when(x.isNotNull(), F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
 
 
 def _simple(path: str) -> bool:

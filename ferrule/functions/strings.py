@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -232,9 +235,6 @@ def _pad(text: str, flags: str, width: int | None, spec: str) -> str:
 
 def printf(template: str, *args: Column) -> Column:
     """printf / format. Simple templates of %d and %s go to the JVM; the rest to an Arrow-batched function."""
-    import re
-
-    import pandas as pd
 
     specs = re.findall(r"%[^A-Za-z%]*[A-Za-z%]", template)
     if all(s in ("%d", "%s", "%%") for s in specs) and len([s for s in specs if s != "%%"]) == len(args):
@@ -251,7 +251,6 @@ def printf(template: str, *args: Column) -> Column:
 
 def decode_escapes(text: str) -> str:
     r"""unistr: \XXXX, \uXXXX, \+XXXXXX, \UXXXXXXXX and \\."""
-    import re
 
     def one(m: re.Match) -> str:
         if m[0] == "\\\\":
@@ -265,7 +264,6 @@ def decode_escapes(text: str) -> str:
 
 
 def unistr(x: Column) -> Column:
-    import pandas as pd
 
     @F.pandas_udf("string")
     def apply(s: pd.Series) -> pd.Series:
@@ -276,7 +274,6 @@ def unistr(x: Column) -> Column:
 
 def unistr_quote(x: Column) -> Column:
     """A literal like quote(); with control characters, as unistr('...')."""
-    import pandas as pd
 
     def one(v: str | None) -> str:
         if v is None:

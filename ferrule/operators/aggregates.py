@@ -83,15 +83,9 @@ def percentile_cont(x: Column, fraction: float) -> Column:
     return F.percentile(x, fraction)
 
 
-def percentile_disc(x: Column, fraction: float) -> Column:
-    """The first value, in order, whose share of rows reaches fraction.
-
-    The distinct values are counted, so a group's state is a row for each distinct value.
-    """
-    # percentile() interpolates between neighbours; the discrete one is an element of the collected order.
-    ordered = F.array_sort(F.collect_list(x))
-    at = F.greatest(F.ceil(F.size(ordered) * F.lit(fraction)), F.lit(1)).cast("int")
-    return F.when(F.size(ordered) > 0, F.element_at(ordered, at))
+def percentile_disc(column: str, fraction: float) -> Column:
+    """The first value, in order, whose share of rows reaches fraction. A group's state is its distinct values' counts."""
+    return F.expr(f"percentile_disc({float(fraction)!r}) WITHIN GROUP (ORDER BY {column})")
 
 
 def decimal_sum(x: Column, scale: int = 10) -> Column:
