@@ -39,7 +39,7 @@ from ferrule.session import plan_bytes
 
 SIZE, SEED = 13, 5
 #: Input bytes for each bucket of anchors, and the fewest buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 12
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 12, 1 << 24
 _U = np.uint64
 
 
@@ -226,7 +226,10 @@ def dedup(documents: DataFrame, size: int = SIZE) -> DataFrame:
     if not SEED <= size <= SEED + 15:
         raise ValueError(f"windows of {SEED} to {SEED + 15} words")
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    buckets = max(LEAST_BUCKETS, -(-plan_bytes(documents) // BUCKET_BYTES))
+    size_known = plan_bytes(documents)
+    if size_known >= 1 << 60:  # Spark's word for unknown
+        size_known = 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKET_BYTES
+    buckets = min(max(LEAST_BUCKETS, -(-size_known // BUCKET_BYTES)), MOST_BUCKETS)
     seeds = docs.mapInArrow(_seeds(buckets, size), "bucket int, doc_id long, tag long, data binary")
     hits = "doc_id long, tag long, runs binary"
     # Slices' own results pass through the same exchange, spread by document.
