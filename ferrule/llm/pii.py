@@ -2,7 +2,7 @@
 
 Base entities (email, ip, card, phone, by fixed patterns) are the seeds. Every seed and every identifier-like string
 that no base pattern accepts is an instance, and stands in lexical patterns: the word before it together with its
-shape (digits as 9), and the word after it together with its shape. Spark scores the bipartite graph of patterns and
+form (around an @, dotted, so many digits), and the word after it together with its form. Spark scores the bipartite graph of patterns and
 instances by rounds: a pattern's confidence for a kind is the smoothed mean score of its instances, an instance's
 score the noisy-or of its patterns' confidence; seeds stay at 1. Patterns that end above MIN_CONFIDENCE and stand on
 MIN_SEEDS different seeds discover: the unknown identifiers in them become spans of the pattern's kind. Base spans
@@ -19,7 +19,7 @@ all returned. Offsets are code points, ends exclusive. Other columns are not rea
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,11 +80,21 @@ def base(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _form(instance: str) -> str:
+    """What an instance looks like, roughly: words around an @, numbers with dots, or a number by its digits."""
+    if "@" in instance:
+        return "@"
+    if instance.count(".") == 3:
+        return "dots"
+    digits = sum(c in "0123456789" for c in instance)
+    return f"digits{next(n for n in (8, 11, 15, 16, 99) if digits <= n)}"
+
+
 def _around(text: str, start: int, end: int) -> tuple[str, str]:
-    """Patterns of an occurrence: the words next to it, within 40 characters, with its shape."""
-    shape = re.sub("[0-9]", "9", re.sub("[A-Za-z]+", "a", text[start:end]))
+    """Patterns of an occurrence: the words next to it, within 40 characters, with its form."""
+    form = _form(text[start:end])
     before, after = _WORD.findall(text[max(0, start - 40) : start]), _WORD.search(text, end, end + 40)
-    return f"{before[-1].lower() if before else ''}<{shape}", f"{shape}>{after[0].lower() if after else ''}"
+    return f"{before[-1].lower() if before else ''}<{form}", f"{form}>{after[0].lower() if after else ''}"
 
 
 def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int, str, list[str]]]:
@@ -167,11 +177,15 @@ def _ordered(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["s"])
 
 
+def _starts(prefix: str) -> Callable[[Column], Column]:
+    return lambda s: s.startswith(prefix)
+
+
 def find(documents: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row. The counts are those of base spans."""
     scanned = stage(scan(documents), "scan")
     all_spans = F.concat("base", F.coalesce("found", F.array().cast("array<string>")))
-    counts = [F.size(F.filter("base", lambda s, k=k: s.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("base", _starts(f"{k}:"))).cast("long").alias(f"n_{k}") for k in KINDS]
     out = _with(scanned.drop("occ"), discovered(scanned))
     return out.select("doc_id", *counts, F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"), F.array_join(_ordered(all_spans), ",").alias("spans"))
 
