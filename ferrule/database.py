@@ -527,7 +527,8 @@ class Database:
 
     def pragma(self, name: str, value: int | str | None = None) -> DataFrame:
         """A pragma's rows; with a value, a flag or knob is set first. pragma_xxx(arg) in FROM is the same frame."""
-        name = name.lower().removeprefix("pragma_")
+        name = name.lower()
+        name = name if name in SCHEMA_PRAGMAS else name.removeprefix("pragma_")
         if name in NOOPS:
             return self._rows(f"{name} long", [])
         if name in self.settings:

@@ -201,7 +201,8 @@ def path_steps(path: str) -> list[str | int | tuple[str, int]]:
     return out
 
 
-_MISSING = object()
+class _MISSING:
+    """What a path that leads nowhere finds; a class, so that it is one object in every process."""
 
 
 def _find(v: Any, step: Any) -> Any:

@@ -240,9 +240,10 @@ def cast_blob(x: Column, kind: str = "other") -> Column:
 
 
 def real_text(x: Column) -> Column:
-    """A real as text: shortest digits, plain notation, with .0 if whole (up to 20 digits before the point)."""
-    plain = x.cast("string").cast("decimal(38,18)").cast("string")
-    plain = F.when(x.cast("string").contains("E"), plain).otherwise(x.cast("string"))
+    """A real as text: shortest digits, plain notation up to 10^38, with .0 if whole."""
+    text = x.cast("string")
+    small = text.try_cast("decimal(38,18)").cast("string")
+    plain = F.when(~text.contains("E"), text).when(F.abs(x) < 1e15, small).otherwise(F.coalesce(text.try_cast("decimal(38,0)").cast("string"), text))
     short = F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1")
     return F.when(short.endswith("."), F.concat(short, F.lit("0"))).when(~short.contains("."), F.concat(short, F.lit(".0"))).otherwise(short)
 
