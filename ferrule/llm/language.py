@@ -57,12 +57,14 @@ def fit(sample: DataFrame) -> np.ndarray:
     """log P(trigram | language), (languages, TABLE), from rows (text, declared). Counts are summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(LANGUAGES), TABLE), np.int64)
+        counts = np.zeros(len(LANGUAGES) * TABLE, np.int64)
         for batch in batches:
             raw, off = tx.utf8(batch.column(0))
-            buckets, bounds = trigrams(raw, off)
-            lang = batch.column(1).to_numpy(zero_copy_only=False)
-            np.add.at(counts, (np.repeat(lang, np.diff(bounds)), buckets), 1)
+            lang = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j in tx.slices(off, 1 << 20):
+                buckets, bounds = trigrams(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                counts += np.bincount(np.repeat(lang[i:j] * TABLE, np.diff(bounds)) + buckets, minlength=len(counts))
+        counts = counts.reshape(len(LANGUAGES), TABLE)
         lang, bucket = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[lang, bucket])], ["lang", "bucket", "n"])
 
