@@ -135,9 +135,19 @@ class Database:
             df.createOrReplaceTempView(name)
 
     def query(self, sql: str) -> DataFrame:
-        """A SELECT in Spark SQL over the database's tables."""
-        self.register()
-        return self.spark.sql(sql)
+        """A query in the dialect; rows of the last statement of a batch."""
+        from ferrule.sql.statements import run
+
+        out = run(self, sql)
+        if out is None:
+            raise ValueError("query() takes statements that return rows")
+        return out
+
+    def execute(self, sql: str) -> None:
+        """Statements in the dialect, in order."""
+        from ferrule.sql.statements import run
+
+        run(self, sql)
 
     def indexed_by(self, table: str, index: str) -> DataFrame:
         """t INDEXED BY i: checks the name; the scan is the same."""

@@ -272,19 +272,19 @@ def unistr(x: Column) -> Column:
     return apply(x)
 
 
+def quoted(v: str) -> str:
+    """A literal; with control characters, as unistr('...')."""
+    body = v.replace("'", "''")
+    if any(ord(c) < 32 for c in v):
+        return "unistr('" + "".join(f"\\u{ord(c):04x}" if ord(c) < 32 else "\\\\" if c == "\\" else c for c in body) + "')"
+    return f"'{body}'"
+
+
 def unistr_quote(x: Column) -> Column:
     """A literal like quote(); with control characters, as unistr('...')."""
 
-    def one(v: str | None) -> str:
-        if v is None:
-            return "NULL"
-        body = v.replace("'", "''")
-        if any(ord(c) < 32 for c in v):
-            return "unistr('" + "".join(f"\\u{ord(c):04x}" if ord(c) < 32 else "\\\\" if c == "\\" else c for c in body) + "')"
-        return f"'{body}'"
-
     @F.pandas_udf("string")
     def apply(s: pd.Series) -> pd.Series:
-        return s.map(one, na_action=None)
+        return s.map(lambda v: "NULL" if v is None else quoted(v), na_action=None)
 
     return apply(x)
