@@ -12,8 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if its measured or estimated size is at most this.
-BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch between the JVM and Python; Spark's own 10,000 are too many for long texts.
+ARROW_ROWS = 2000
 
 
 def get_spark(app: str = "ferrule", cpus: str = "*", **conf: str) -> SparkSession:
@@ -31,7 +31,12 @@ def get_spark(app: str = "ferrule", cpus: str = "*", **conf: str) -> SparkSessio
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each context, so that they need no installed copy."""
+    """Send this package to the Python workers, once for each context, so that they need no installed copy.
+
+    Also makes Arrow batches of whole documents ARROW_ROWS long, unless the session has a number of its own.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
     if getattr(context, "_ferrule_shipped", False):
         return
