@@ -188,15 +188,20 @@ class Parser:
         if op == "LIKE":
             escape = self.bits() if self.accept("ESCAPE") else None
             return lambda s: (f"({no}{self._like(left(s), right(s), escape(s) if escape else None)})", "bool")
+        return self._matched(op, no, left, right)
+
+    @staticmethod
+    def _matched(op: str, no: str, x: Expr, pattern: Expr) -> Expr:
+        """x GLOB, REGEXP or MATCH a literal pattern, also as glob(pattern, x) and so on."""
         if op == "MATCH":
             raise ValueError("unable to use function MATCH in the requested context")
 
-        def pattern(s: Scope) -> Value:
-            p = fn._literal(right(s))
+        def render(s: Scope) -> Value:
+            p = fn._literal(pattern(s))
             regex = glob_regex(p) if op == "GLOB" else "(?s)" + re.sub(r"([+?(){}|\\])", r"\\\1", p)
-            return (f"({no}{fn.text(left(s))} RLIKE {fn.quote(regex)})" if regex else f"({no}false)"), "bool"
+            return (f"({no}{fn.text(x(s))} RLIKE {fn.quote(regex)})" if regex else f"({no}false)"), "bool"
 
-        return pattern
+        return render
 
     def _like(self, x: Value, p: Value, escape: Value | None) -> str:
         turn = (lambda t: t) if self.case_sensitive else fn.fold
@@ -400,6 +405,12 @@ class Parser:
             render = self._aggregate(f, args, star, distinct, order, where)
             render.aggregate = f  # type: ignore[attr-defined]
             return self._found(render, f, args)
+        if f in ("glob", "regexp", "match") and len(args) == 2:
+            return self._matched(f.upper(), "", args[1], args[0])
+        if f == "like" and len(args) == 3:
+            return lambda s: (f"({self._like(args[1](s), args[0](s), args[2](s))})", "bool")
+        if f in self.session and not args:
+            return lambda s: self.session[f]
         if star or f not in fn.FUNCTIONS:
             raise ValueError(f"no such function: {f}")
         return lambda s: fn.FUNCTIONS[f](*(a(s) for a in args))
@@ -409,6 +420,8 @@ class Parser:
         return render
 
     aggregates: list = []
+    #: Functions of the session, as values.
+    session: dict[str, Value] = {}
 
     def _inner(self, s: Scope, xs: list[Expr]) -> list[Value]:
         s.inside += 1

@@ -33,6 +33,11 @@ class Statements(Parser):
         super().__init__(sql, lambda t: db.table(t).dtypes, self._pragma_view, bool(db.settings["case_sensitive_like"]))
         self.db = db
 
+    @property
+    def session(self) -> dict:
+        number = lambda n: ("NULL" if n is None else str(n), "int")
+        return {"changes": number(self.db.changes), "total_changes": number(self.db.total_changes), "last_insert_rowid": number(self.db.last_insert_rowid)}
+
     def _pragma_view(self, function: str, argument: str | None) -> str:
         view = f"{function}_{uuid.uuid4().hex[:8]}"
         self.db.create_view(view, self.db.pragma(function, argument))

@@ -56,6 +56,10 @@ def test_queries(db, sql, want):
     assert q(db, sql) == want
 
 
+def test_session_functions_and_pattern_calls(db):
+    assert q(db, "SELECT changes(), total_changes(), last_insert_rowid(), glob('a*', 'abc'), regexp('^b', 'abc'), like('a!%', 'A%', '!')") == [(3, 6, 3, True, False, True)]
+
+
 def test_changes(db):
     assert q(db, "INSERT INTO users (name) VALUES ('dan') RETURNING id, age, twice") == [(4, 18, 36)]
     assert q(db, "UPDATE users SET age = age + 1 WHERE id = 1 RETURNING age") == [(31,)]
