@@ -30,7 +30,7 @@ from ferrule.session import broadcast_if_small, stage
 LANGUAGES = ("de", "en", "es", "fr")
 TABLE = 1 << 15
 #: The largest sample for the trigram table, and the rows of the host table that may be broadcast.
-MAX_SAMPLE, MAX_BROADCAST_HOSTS = 20_000, 500_000
+MAX_SAMPLE, MAX_BROADCAST_HOSTS = 4_000, 500_000
 #: Pseudo-counts: of a trigram, of a parent in the host hierarchy, of a declaration; the share of a text's trigrams
 #: that count as independent; and the posterior from which a row is kept.
 SMOOTH, PARENT, DECLARE, INDEPENDENT, KEEP = 0.5, 10.0, 5.0, 0.25, 0.5
@@ -61,7 +61,7 @@ def fit(sample: DataFrame) -> np.ndarray:
         for batch in batches:
             raw, off = tx.utf8(batch.column(0))
             lang = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in tx.slices(off, 1 << 20):
+            for i, j in tx.slices(off):
                 buckets, bounds = trigrams(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 counts += np.bincount(np.repeat(lang[i:j] * TABLE, np.diff(bounds)) + buckets, minlength=len(counts))
         counts = counts.reshape(len(LANGUAGES), TABLE)
@@ -85,7 +85,7 @@ def likelihoods(rows: DataFrame, table: np.ndarray) -> DataFrame:
         for batch in batches:
             raw, off = tx.utf8(batch.column("text"))
             out, sizes = [], []
-            for i, j in tx.slices(off, 1 << 20):
+            for i, j in tx.slices(off):
                 buckets, bounds = trigrams(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 sums = np.zeros((len(buckets) + 1, len(LANGUAGES)))
                 np.cumsum(by_bucket[buckets], axis=0, out=sums[1:])

@@ -40,7 +40,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = max(SLICE + 64, 1 << (n - 1).bit_length())
         for k, base in enumerate((_P, _P_INV)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
@@ -61,8 +61,12 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def slices(off: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about limit bytes each, one row at least."""
+#: Bytes of text that are worked on at once: some 100 MB of arrays at most (more only for one longer text).
+SLICE = (1 << 20) - 64
+
+
+def slices(off: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most limit bytes each, one row at least."""
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)

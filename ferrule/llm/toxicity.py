@@ -247,7 +247,7 @@ def classify(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             raw, off = tx.utf8(batch.column(1))
             scores = []
-            for i, j in tx.slices(off, 1 << 20):
+            for i, j in tx.slices(off):
                 ids, bounds, h = ids_of(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 z = own.logits(ids, bounds, tables) - own.shift[languages_of(h, bounds)]
                 scores.append(1 / (1 + np.exp(-np.clip(z.astype(np.float64), -500, 500))) if own.constant is None else np.full(j - i, own.constant))
