@@ -17,7 +17,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(load(spark, sf_dir, "documents")).drop("kept")
+    return substring.dedup(load(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

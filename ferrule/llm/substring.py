@@ -39,7 +39,7 @@ from ferrule.session import plan_bytes
 
 SIZE, SEED = 13, 5
 #: Input bytes for each bucket of anchors, and the fewest buckets.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 12, 1 << 24
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 4 << 20, 12, 1 << 24
 _U = np.uint64
 
 
@@ -195,34 +195,33 @@ def _extend(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch])
 
 
-def _cut(size: int):
+def _cut(size: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw_all, off_all = tx.utf8(batch.column(1))
-            out: list[tuple] = []
-            found = batch.column(2)
             for i, j in tx.slices(off_all):
                 raw, off = raw_all[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i]
                 start, end, bounds = tx.words(raw, off, tx.SPACE_WORDS)
-                data = raw.tobytes()
+                data, found, out = raw.tobytes(), batch.column(2).slice(i, j - i), []
                 for r in range(j - i):
                     a, b = int(bounds[r]), int(bounds[r + 1])
                     change = np.zeros(b - a + 1, np.int32)
-                    for part in found[i + r].as_py() or ():
+                    for part in found[r].as_py() or ():
                         pairs = np.frombuffer(part, "<i4").reshape(-1, 2)
                         np.add.at(change, pairs[:, 0], 1)
                         np.add.at(change, pairs[:, 0] + pairs[:, 1] + size - 1, -1)
                     kept = np.flatnonzero(np.cumsum(change)[:-1] == 0) + a
                     text = b" ".join([data[s:e] for s, e in zip(start[kept].tolist(), end[kept].tolist())])
-                    out.append((b - a, b - a - len(kept), hashlib.sha256(text).hexdigest(), text.decode()))
-            cols = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                    out.append((b - a, b - a - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if texts else None))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
 
-def dedup(documents: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the text that is left, words joined by a space) of each row."""
+def dedup(documents: DataFrame, size: int = SIZE, texts: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept (the text that is left, words joined by a space; NULL without
+    texts) of each row."""
     if not SEED <= size <= SEED + 15:
         raise ValueError(f"windows of {SEED} to {SEED + 15} words")
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -243,4 +242,4 @@ def dedup(documents: DataFrame, size: int = SIZE) -> DataFrame:
     found = seeds.withColumn("bucket", spread).groupBy("bucket").applyInArrow(extend, hits)
     by_doc = found.groupBy("doc_id", "tag").agg(F.collect_list("runs").alias("runs"))
     joined = docs.withColumn("tag", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).join(by_doc, ["doc_id", "tag"], "left")
-    return joined.select("doc_id", "text", "runs").mapInArrow(_cut(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined.select("doc_id", "text", "runs").mapInArrow(_cut(size, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
