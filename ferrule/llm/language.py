@@ -9,6 +9,9 @@ Scale: the text is read once for likelihoods; what follows is a table of numbers
 hosts in a table no larger than MAX_BROADCAST_HOSTS by broadcast, so a host with a third of all rows is no hot task; a
 larger one is joined by shuffle, where Spark splits the skewed side (which has no text).
 
+Unknown languages: one more class, "und", whose trigrams are FAR nats less likely than those of the median row whose
+text and declaration agree (over all rows). It has the prior UNKNOWN and tells nothing of declaration and suffix.
+
 Defined cases: a null or empty text, or one without letters, has no likelihood evidence: the rest decides. A row
 without any letter in its text is rejected ("und"). Null host, address or declaration: no such evidence. Rows alike in
 key (null included) and text are judged alike and all returned. No rows, or no row with a known declaration: all "und".
@@ -34,6 +37,9 @@ MAX_SAMPLE, MAX_BROADCAST_HOSTS = 4_000, 500_000
 #: Pseudo-counts: of a trigram, of a parent in the host hierarchy, of a declaration; the share of a text's trigrams
 #: that count as independent; and the posterior from which a row is kept.
 SMOOTH, PARENT, DECLARE, INDEPENDENT, KEEP = 0.5, 10.0, 5.0, 0.25, 0.5
+#: How much less likely a trigram of an unknown language is than one of the median row, in nats (a factor of 55), and the
+#: prior of an unknown language.
+FAR, UNKNOWN = 4.0, 0.001
 
 
 def trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +82,8 @@ def fit(sample: DataFrame) -> np.ndarray:
 
 
 def likelihoods(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """rows with ll (an array of log-likelihoods by language, less their largest) and letters, without text."""
+    """rows with ll (an array of log-likelihoods by language, less their largest), near (the largest, for a letter) and
+    letters, without text."""
     names = [c for c in rows.columns if c != "text"]
     sent = rows.sparkSession.sparkContext.broadcast(table.astype(np.float32).T.copy())  # of fixed size
 
@@ -84,7 +91,7 @@ def likelihoods(rows: DataFrame, table: np.ndarray) -> DataFrame:
         by_bucket = sent.value
         for batch in batches:
             raw, off = tx.utf8(batch.column("text"))
-            out, sizes = [], []
+            out, near, sizes = [], [], []
             for i, j in tx.slices(off):
                 buckets, bounds = trigrams(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 sums = np.zeros((len(buckets) + 1, len(LANGUAGES)))
@@ -92,12 +99,13 @@ def likelihoods(rows: DataFrame, table: np.ndarray) -> DataFrame:
                 ll = (sums[bounds[1:]] - sums[bounds[:-1]]) * INDEPENDENT
                 out.append(ll - ll.max(axis=1, keepdims=True))
                 sizes.append(np.diff(bounds))
+                near.append(ll.max(axis=1) / INDEPENDENT / np.maximum(sizes[-1], 1))
             ll = np.concatenate(out) if out else np.zeros((0, len(LANGUAGES)))
             cells = pa.FixedSizeListArray.from_arrays(pa.array(ll.reshape(-1)), len(LANGUAGES)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), cells, pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64))], [*names, "ll", "letters"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), cells, pa.array(np.concatenate(near) if near else np.zeros(0)), pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64))], [*names, "ll", "near", "letters"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text")
-    return rows.mapInArrow(run, f"{schema}, ll array<double>, letters long")
+    return rows.mapInArrow(run, f"{schema}, ll array<double>, near double, letters long")
 
 
 def _best(score: Column) -> Column:
@@ -136,8 +144,8 @@ def host_priors(votes: DataFrame) -> DataFrame:
 def identify(rows: DataFrame) -> DataFrame:
     """rows (key..., text, declared, host, address_suffix) judged: key..., lang, posterior, text_lang, declared, kept.
 
-    lang: the likeliest of LANGUAGES, "und" if the text has no letter. kept: lang is not "und" and its posterior is KEEP
-    or more.
+    lang: the likeliest of LANGUAGES, "und" if an unknown language is likelier or the text has no letter. text_lang: by
+    the text alone, null where lang would be "und". kept: lang is not "und" and its posterior is KEEP or more.
     """
     n = len(LANGUAGES)
     names = F.array(*(F.lit(x) for x in LANGUAGES))
@@ -151,14 +159,21 @@ def identify(rows: DataFrame) -> DataFrame:
     scored = stage(likelihoods(rows, fit(sample)), "likelihoods")
     place = F.when(F.col("declared").isin(*LANGUAGES), F.array_position(names, F.col("declared")).cast("int") - 1)
     scored = scored.withColumn("said", place).withColumn("own", F.when(F.col("letters") > 0, _best(F.col("ll"))))
-    # How far declarations and suffixes can be trusted: P(declared | language told by the text), over all rows.
+    median = scored.where("said = own").agg(F.percentile_approx("near", 0.5)).first()[0]
+    # The text's log-likelihood in an unknown language, less its largest in a known one.
+    strange = F.lit(float("-inf")) if median is None else (F.lit(median - FAR) - F.col("near")) * F.col("letters") * INDEPENDENT + float(np.log(UNKNOWN))
+    scored = scored.withColumn("strange", strange).withColumn("own", F.when(F.col("strange") <= 0, F.col("own")))
+    # How far declarations and suffixes can be trusted: P(declared | language told by the text), over all rows; at the
+    # end P(declared), for an unknown language.
     trust = {}
     for column in ("said", "address_suffix"):
         cells = {(r[0], r[1]): r[2] for r in _confusion(scored, column)}
         values = {v for v, _ in cells}
         total = [sum(c for (_, own), c in cells.items() if own == k) for k in range(n)]
         trust[column] = {v: [float(np.log((cells.get((v, k), 0) + DECLARE / len(values)) / (total[k] + DECLARE))) for k in range(n)] for v in values}
-    votes = scored.select("host", F.coalesce("own", "said").alias("vote")).where("vote is not null")
+        for v, logs in trust[column].items():
+            logs.append(float(np.log((sum(cells.get((v, k), 0) for k in range(n)) + DECLARE / len(values)) / (sum(total) + DECLARE))))
+    votes = scored.select("host", F.when(F.col("letters") > 0, F.col("own")).otherwise(F.col("said")).alias("vote")).where("vote is not null")
     fused = scored.join(broadcast_if_small(host_priors(votes), MAX_BROADCAST_HOSTS), "host", "left")
 
     def evidence(column: str, k: int) -> Column:
@@ -167,14 +182,15 @@ def identify(rows: DataFrame) -> DataFrame:
             logs = F.when(F.col(column) == F.lit(v), F.lit(values[k])).otherwise(logs)
         return logs
 
-    total = F.array(*(F.col("ll")[k] + F.coalesce(F.log(F.col("prior")[k]), F.lit(0.0)) + evidence("said", k) + evidence("address_suffix", k) for k in range(n)))
-    judged = fused.withColumn("total", total)
+    total = [F.col("ll")[k] + F.coalesce(F.log(F.col("prior")[k]), F.lit(0.0)) + evidence("said", k) + evidence("address_suffix", k) for k in range(n)]
+    total.append(F.when(F.col("letters") > 0, F.col("strange") + evidence("said", n) + evidence("address_suffix", n)).otherwise(float("-inf")))
+    judged = fused.withColumn("total", F.array(*total))
     top = F.array_max("total")
     odds = F.aggregate("total", F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
     judged = judged.withColumn("posterior", 1 / odds)
-    lang = F.when(F.col("letters") > 0, F.element_at(names, _best(F.col("total")) + 1)).otherwise("und")
-    text_lang = F.element_at(names, F.col("own") + 1)
-    kept = (F.col("letters") > 0) & (F.col("posterior") >= KEEP)
+    lang = F.when(F.col("letters") > 0, F.element_at(F.array_append(names, F.lit("und")), _best(F.col("total")) + 1)).otherwise("und")
+    text_lang = F.when(F.col("own").isNotNull(), F.element_at(names, F.col("own") + 1))  # of a null place Spark takes the last
+    kept = (F.col("letters") > 0) & (_best(F.col("total")) < n) & (F.col("posterior") >= KEEP)
     return judged.select(*keys, lang.alias("lang"), F.round("posterior", 6).alias("posterior"), text_lang.alias("text_lang"), "declared", kept.alias("kept"))
 
 

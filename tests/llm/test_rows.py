@@ -127,6 +127,24 @@ def test_language_awkward(spark):
     assert language.of_documents(frame(spark, [])).count() == 0
 
 
+FOREIGN = [
+    "Il governo ha approvato ieri una nuova legge sulla scuola che cambia le regole per gli insegnanti. " * 3,
+    "Правительство вчера одобрило новый закон о школах, который меняет правила для учителей. " * 3,
+    "Rząd przyjął wczoraj nową ustawę o szkołach, która zmienia zasady dla nauczycieli. " * 3,
+    "政府昨天通过了一项新的学校法律，改变了教师的规则。" * 3,
+]
+
+
+@pytest.mark.parametrize("declared", [None, "it", "es"])
+def test_language_outside_the_set_is_rejected(spark, declared):
+    docs = load(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source")
+    rows = spark.createDataFrame([(-1 - k, t, declared, "src0") for k, t in enumerate(FOREIGN)], "doc_id long, text string, lang string, source string")
+    got = language.of_documents(docs.unionByName(rows)).collect()
+    assert {(r.doc_id, r.lang, r.text_lang, r.kept) for r in got if r.doc_id < 0} == {(-1 - k, "und", None, False) for k in range(len(FOREIGN))}
+    assert all(r.kept for r in got if r.doc_id >= 0 and r.text_lang)
+    assert language.keep(docs.unionByName(rows)).where("doc_id < 0").count() == 0
+
+
 # Toxicity --------------------------------------------------------------------------------------------------------
 
 
