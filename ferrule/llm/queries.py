@@ -37,7 +37,9 @@ def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.of_documents(load(spark, sf_dir, "documents")).drop("text_hash")
+    """All documents (page_id null) and all pages (doc_id null)."""
+    docs, pages = (load(spark, sf_dir, t) for t in ("documents", "pages"))
+    return language.of_documents(docs).drop("text_hash").unionByName(language.of_pages(pages), allowMissingColumns=True)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,15 @@ def test_language_outside_the_set_is_rejected(spark, declared):
     assert language.keep(docs.unionByName(rows)).where("doc_id < 0").count() == 0
 
 
+def test_language_query_judges_all_documents_and_pages(spark, sf):
+    got = QUERIES["op7_language"](spark, sf).collect()
+    for table, key in (("documents", "doc_id"), ("pages", "page_id")):
+        want = collections.Counter(r[0] for r in load(spark, sf, table).select(key).collect())
+        assert collections.Counter(r[key] for r in got if r[key] is not None) == want
+    pages = {tuple(r) for r in language.of_pages(load(spark, sf, "pages")).collect()}
+    assert {(r.page_id, r.lang, r.posterior, r.text_lang, r.declared, r.kept) for r in got if r.page_id is not None} == pages
+
+
 # Toxicity --------------------------------------------------------------------------------------------------------
 
 
