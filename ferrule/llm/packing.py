@@ -36,16 +36,18 @@ from ferrule.session import stage
 CAPACITY, END = 1024, 2
 #: Pieces of one (size, salt) group.
 GROUP = 100_000
-_encoders: dict[str, Callable[[str], list[int]]] = {}
+_encoders: dict[tuple[str, bool], Callable[[str], list[int]]] = {}
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
+def encoder(path: str, added: bool = False) -> Callable[[str], list[int]]:
     """Text to ids of a byte-level BPE; made once in each process.
 
     path: a tokenizers JSON file. If the same vocabulary lies beside it as a rank file (.tiktoken), ids are computed
-    from that, seven times as fast; what it can't take (it refuses some huge texts) goes to tokenizers.
+    from that, seven times as fast; what it can't take (it refuses some huge texts) goes to tokenizers. added: added
+    tokens such as <|endoftext|> that stand in a text get their own ids, as in tokenizers by default; else they are
+    encoded like any other text. Texts that hold one go to tokenizers.
     """
-    if path not in _encoders:
+    if (path, added) not in _encoders:
         import os
 
         import public_tokenizers
@@ -53,7 +55,9 @@ def encoder(path: str) -> Callable[[str], list[int]]:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
+        tokens = [t.content for t in whole.get_added_tokens_decoder().values()] if added else []
+        if not added:
+            whole.encode_special_tokens = True
         slow = lambda t: whole.encode(t, add_special_tokens=False).ids
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
@@ -62,6 +66,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
             quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
             def encode(t: str) -> list[int]:
+                if any(x in t for x in tokens):
+                    return slow(t)
                 try:
                     return quick(t)
                 except BaseException as e:
@@ -69,10 +75,10 @@ def encoder(path: str) -> Callable[[str], list[int]]:
                         raise
                     return slow(t)
 
-            _encoders[path] = encode
+            _encoders[path, added] = encode
         else:
-            _encoders[path] = slow
-    return _encoders[path]
+            _encoders[path, added] = slow
+    return _encoders[path, added]
 
 
 def cut(ids: Sequence[int], capacity: int) -> list[tuple[int, int]]:
@@ -81,11 +87,11 @@ def cut(ids: Sequence[int], capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, len(ids), capacity))]
 
 
-def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of all pieces; the ids themselves are not kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, added)
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             for n, text in enumerate(batch.column(1)):
@@ -156,6 +162,6 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.select(*(ranked[c] for c in found.columns), (plan["sequence"] + ranked["rank"] - plan["at"]).alias("sequence_id"), plan["offset"])
 
 
-def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of documents (doc_id, text)."""
-    return place(stage(pieces(documents, path, capacity, end), "pieces"), capacity)
+    return place(stage(pieces(documents, path, capacity, end, added), "pieces"), capacity)

@@ -11,7 +11,9 @@ import public_tokenizers
 import pytest
 import xxhash
 
+import corpus_pipeline
 from ferrule.llm import components, decontaminate, packing, sharding, simhash, substring
+from ferrule.llm.queries import QUERIES
 from tests.llm.helpers import AWKWARD, frame, long_text
 
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
@@ -205,6 +207,21 @@ def test_packing_round_trip(spark):
     assert packing.pack(frame(spark, []), TOKENIZER).count() == 0
 
 
+def test_packing_query_gives_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "a < |endoftext|> b"), (4, None)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    want = set()
+    for d, t in rows:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        want.add((d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert want >= {(1, 5, zlib.crc32(np.array([64, 220, 50256, 275, 2], "<u4").tobytes()))}
+    for got in (QUERIES["op3_packing"](spark, str(tmp_path)), corpus_pipeline.packed(spark, frame(spark, rows), "")):
+        assert {(r.doc_id, r.length, r.ids_crc32) for r in got.collect()} == want
+
+
 def best_fit(sizes, capacity=1024):
     gaps = []
     for n in sorted(sizes, reverse=True):
