@@ -5,8 +5,8 @@ column), the suffix of the address, and a prior of the host that is smoothed tow
 suffix's and that towards the whole corpus's. All counts behind priors and declarations are grouped aggregations over
 all rows; only the trigram table is fitted on a bounded sample (MAX_SAMPLE rows, chosen by hash of the row).
 
-Scale: the text is read once for likelihoods; what follows is a table of numbers, staged. Hosts are joined by key,
-hosts in a table no larger than MAX_BROADCAST_HOSTS by broadcast, so a host with a third of all rows is no hot task; a
+Scale: the text is read once for likelihoods; what follows is a table of numbers, staged. Hosts and suffixes are joined by key,
+those in a table no larger than MAX_BROADCAST_HOSTS by broadcast, so a value with a third of all rows is no hot task; a
 larger one is joined by shuffle, where Spark splits the skewed side (which has no text).
 
 Unknown languages: one more class, "und", whose trigrams are FAR nats less likely than those of the median row whose
@@ -163,27 +163,26 @@ def identify(rows: DataFrame) -> DataFrame:
     # The text's log-likelihood in an unknown language, less its largest in a known one.
     strange = F.lit(float("-inf")) if median is None else (F.lit(median - FAR) - F.col("near")) * F.col("letters") * INDEPENDENT + float(np.log(UNKNOWN))
     scored = scored.withColumn("strange", strange).withColumn("own", F.when(F.col("strange") <= 0, F.col("own")))
-    # How far declarations and suffixes can be trusted: P(declared | language told by the text), over all rows; at the
-    # end P(declared), for an unknown language.
-    trust = {}
-    for column in ("said", "address_suffix"):
-        cells = {(r[0], r[1]): r[2] for r in _confusion(scored, column)}
-        values = {v for v, _ in cells}
-        total = [sum(c for (_, own), c in cells.items() if own == k) for k in range(n)]
-        trust[column] = {v: [float(np.log((cells.get((v, k), 0) + DECLARE / len(values)) / (total[k] + DECLARE))) for k in range(n)] for v in values}
-        for v, logs in trust[column].items():
-            logs.append(float(np.log((sum(cells.get((v, k), 0) for k in range(n)) + DECLARE / len(values)) / (sum(total) + DECLARE))))
+    # How far declarations can be trusted: P(declared | language told by the text), over all rows; at the end P(declared),
+    # for an unknown language.
+    cells = {(r[0], r[1]): r[2] for r in scored.where("said is not null and own is not null").groupBy("said", "own").agg(F.count("*")).collect()}
+    values = {v for v, _ in cells}
+    total = [sum(c for (_, own), c in cells.items() if own == k) for k in range(n)]
+    trust = {v: [float(np.log((cells.get((v, k), 0) + DECLARE / len(values)) / (total[k] + DECLARE))) for k in range(n)] for v in values}
+    for v, logs in trust.items():
+        logs.append(float(np.log((sum(cells.get((v, k), 0) for k in range(n)) + DECLARE / len(values)) / (sum(total) + DECLARE))))
     votes = scored.select("host", F.when(F.col("letters") > 0, F.col("own")).otherwise(F.col("said")).alias("vote")).where("vote is not null")
     fused = scored.join(broadcast_if_small(host_priors(votes), MAX_BROADCAST_HOSTS), "host", "left")
+    fused = fused.join(broadcast_if_small(_suffix_logs(scored), MAX_BROADCAST_HOSTS), "address_suffix", "left")
 
-    def evidence(column: str, k: int) -> Column:
+    def evidence(k: int) -> Column:
         logs = F.lit(0.0)
-        for v, values in sorted(trust[column].items(), key=lambda x: str(x[0])):
-            logs = F.when(F.col(column) == F.lit(v), F.lit(values[k])).otherwise(logs)
-        return logs
+        for v, values in sorted(trust.items()):
+            logs = F.when(F.col("said") == F.lit(v), F.lit(values[k])).otherwise(logs)
+        return logs + F.coalesce(F.col("suffix_logs")[k], F.lit(0.0))
 
-    total = [F.col("ll")[k] + F.coalesce(F.log(F.col("prior")[k]), F.lit(0.0)) + evidence("said", k) + evidence("address_suffix", k) for k in range(n)]
-    total.append(F.when(F.col("letters") > 0, F.col("strange") + evidence("said", n) + evidence("address_suffix", n)).otherwise(float("-inf")))
+    total = [F.col("ll")[k] + F.coalesce(F.log(F.col("prior")[k]), F.lit(0.0)) + evidence(k) for k in range(n)]
+    total.append(F.when(F.col("letters") > 0, F.col("strange") + evidence(n)).otherwise(float("-inf")))
     judged = fused.withColumn("total", F.array(*total))
     top = F.array_max("total")
     odds = F.aggregate("total", F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
@@ -194,17 +193,14 @@ def identify(rows: DataFrame) -> DataFrame:
     return judged.select(*keys, lang.alias("lang"), F.round("posterior", 6).alias("posterior"), text_lang.alias("text_lang"), "declared", kept.alias("kept"))
 
 
-#: Address suffixes told apart; a suffix outside the most frequent ones is no evidence.
-MAX_SUFFIXES = 1000
-
-
-def _confusion(scored: DataFrame, column: str) -> list:
-    """(value, language of the text, rows) for a column of few values: languages, or the most frequent suffixes."""
-    counts = scored.where(F.col(column).isNotNull() & F.col("own").isNotNull()).groupBy(column, "own").agg(F.count("*").alias("n"))
-    if column == "said":
-        return counts.collect()
-    frequent = counts.groupBy(column).agg(F.sum("n").alias("t")).orderBy(F.desc("t"), column).limit(MAX_SUFFIXES).select(column)
-    return counts.join(F.broadcast(frequent), column).collect()
+def _suffix_logs(scored: DataFrame) -> DataFrame:
+    """(address_suffix, suffix_logs) of all suffixes: log P(suffix | language told by the text) and, at the end, log P(suffix)."""
+    n = len(LANGUAGES)
+    counts = scored.where("address_suffix is not null and own is not null").groupBy("address_suffix").agg(*(F.sum((F.col("own") == k).cast("double")).alias(f"c{k}") for k in range(n)))
+    counts = stage(counts.withColumn(f"c{n}", sum((F.col(f"c{k}") for k in range(n)), F.lit(0.0))), "suffixes")
+    *total, size = counts.agg(*(F.coalesce(F.sum(f"c{k}"), F.lit(0.0)) for k in range(n + 1)), F.count("*")).first()
+    logs = [F.log((F.col(f"c{k}") + DECLARE / max(size, 1)) / (total[k] + DECLARE)) for k in range(n + 1)]
+    return counts.select("address_suffix", F.array(*logs).alias("suffix_logs"))
 
 
 def of_documents(documents: DataFrame) -> DataFrame:

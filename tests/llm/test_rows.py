@@ -154,6 +154,16 @@ def test_language_query_judges_all_documents_and_pages(spark, sf):
     assert {(r.page_id, r.lang, r.posterior, r.text_lang, r.declared, r.kept) for r in got if r.page_id is not None} == pages
 
 
+def test_language_rare_suffixes_are_evidence(spark):
+    suffix = lambda k: f"s{k:04d}"
+    texts = {"de": "das haus und der hund sind nicht hier", "fr": "la maison et le chien ne sont pas ici"}
+    rows = [(k, texts["de"], "de", f"h.{suffix(k % 1001)}", suffix(k % 1001)) for k in range(2002)] + [(9001, texts["fr"], "fr", "h.zz", "zz"), (9002, None, None, "h.zz", "zz")]
+    scored = spark.createDataFrame([(s, 3 if s == "zz" else 0) for _, _, _, _, s in rows[:-1]], "address_suffix string, own int")
+    logs = {r.address_suffix: r.suffix_logs for r in language._suffix_logs(scored).collect()}
+    assert len(logs) == 1002 and logs["zz"][3] > max(logs["zz"][:3])
+    assert language.identify(spark.createDataFrame(rows, "id long, text string, declared string, host string, address_suffix string")).count() == len(rows)
+
+
 # Toxicity --------------------------------------------------------------------------------------------------------
 
 
