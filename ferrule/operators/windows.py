@@ -3,6 +3,9 @@
 GROUPS counts peer groups: with d = dense_rank() over the same partition and order, GROUPS BETWEEN a AND b is RANGE
 BETWEEN a AND b over d, so it costs one more window over the same sort.
 
+Frames from a bound to UNBOUNDED FOLLOWING would be evaluated anew for each row. They are turned round: over the
+reversed order they begin at UNBOUNDED PRECEDING, which Spark evaluates by running sums, in one pass.
+
 EXCLUDE: for sums, counts and averages over any frame, the excluded rows' share is subtracted (the current row's value,
 or its peers' within the frame), which needs no list of the frame. For other functions over bounded frames the frame's
 values are collected with row and group numbers and filtered (memory: the frame).
@@ -10,7 +13,8 @@ values are collected with row and group numbers and filtered (memory: the frame)
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -30,6 +34,7 @@ class Spec:
     high: float | None = 0
     exclude: str | None = None  # current row, group, ties or no others
     keys: tuple[str, ...] = field(default=())  # the plain names of order, for peers
+    reverse: tuple[Column, ...] = field(default=())  # the opposite order, needed where order has directions of its own
 
     def extend(self, order: Sequence[Column] = (), keys: Sequence[str] = (), **frame: object) -> Spec:
         """A named window as a base: (w ORDER BY ... frame). Order and frame can be added, not changed."""
@@ -46,16 +51,36 @@ def _bound(n: float | None, low: bool) -> float:
     return (Window.unboundedPreceding if low else Window.unboundedFollowing) if n is None else n
 
 
-def spec(s: Spec) -> WindowSpec:
-    """The Spark window of a spec with a ROWS, RANGE or default frame."""
+def _reversed(c: Column) -> Column:
+    """The opposite order of a plain column, whose own order is ascending with nulls first."""
+    if re.search(r" NULLS (FIRST|LAST)'>$", str(c)):
+        raise ValueError("order by plain columns, or give reverse")
+    return c.desc_nulls_last()
+
+
+def _turned(s: Spec) -> bool:
+    return s.low is not None and s.high is None
+
+
+def spec(s: Spec, ordered: bool = False) -> WindowSpec:
+    """The Spark window of a spec with a ROWS, RANGE or default frame.
+
+    ordered: for functions that depend on the order within the frame (first_value, collect_list). Others get frames up
+    to UNBOUNDED FOLLOWING turned round.
+    """
     if s.unit is None:
         return s.base()
-    a, b = _bound(s.low, True), _bound(s.high, False)
-    if s.unit == "rows":
-        return s.base().rowsBetween(a, b)
-    if s.unit == "range":
-        return s.base().rangeBetween(a, b)
-    raise ValueError("a GROUPS frame needs over()")
+    if s.unit not in ("rows", "range"):
+        raise ValueError("a GROUPS frame needs over()")
+    if _turned(s) and not ordered and s.order:
+        back = s.reverse or tuple(_reversed(c) for c in s.order)
+        return _between(Window.partitionBy(*s.partition).orderBy(*back), s.unit, None, -s.low)
+    return _between(s.base(), s.unit, s.low, s.high)
+
+
+def _between(w: WindowSpec, unit: str, low: float | None, high: float | None) -> WindowSpec:
+    a, b = _bound(low, True), _bound(high, False)
+    return w.rowsBetween(a, b) if unit == "rows" else w.rangeBetween(a, b)
 
 
 def _numbered(df: DataFrame, s: Spec) -> DataFrame:
@@ -64,12 +89,14 @@ def _numbered(df: DataFrame, s: Spec) -> DataFrame:
     return out.withColumn("_n", F.row_number().over(s.base()) if s.order else F.row_number().over(Window.partitionBy(*s.partition).orderBy(F.lit(1))))
 
 
-def _frame(s: Spec) -> WindowSpec:
-    if s.unit == "groups":
-        return Window.partitionBy(*s.partition).orderBy("_d").rangeBetween(_bound(s.low, True), _bound(s.high, False))
-    if s.unit == "rows":
-        return Window.partitionBy(*s.partition).orderBy("_n").rowsBetween(_bound(s.low, True), _bound(s.high, False))
-    return spec(s)
+def _frame(s: Spec, ordered: bool = False) -> WindowSpec:
+    """The frame over the numbers of _numbered()."""
+    if s.unit not in ("groups", "rows"):
+        return spec(s, ordered)
+    w, number, unit = Window.partitionBy(*s.partition), *(("_d", "range") if s.unit == "groups" else ("_n", "rows"))
+    if _turned(s) and not ordered:
+        return _between(w.orderBy(F.desc(number)), unit, None, -s.low)
+    return _between(w.orderBy(number), unit, s.low, s.high)
 
 
 def over(df: DataFrame, name: str, function: Callable[[Column], Column], x: Column, s: Spec, where: Column | None = None) -> DataFrame:
@@ -83,12 +110,20 @@ def over(df: DataFrame, name: str, function: Callable[[Column], Column], x: Colu
             return df.withColumn(name, function(value).over(spec(s)))
         return _numbered(df, s).withColumn(name, function(value).over(_frame(s))).drop("_d", "_n")
     inner = EXCLUDING[function.__name__]
-    cells = F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_d").alias("d"), value.alias("v"))).over(_frame(s))
+    cells = F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_d").alias("d"), value.alias("v"))).over(_frame(s, ordered=True))
     n, d = F.col("_n"), F.col("_d")
     keep = {"current row": lambda c: c["n"] != n, "group": lambda c: c["d"] != d, "ties": lambda c: (c["d"] != d) | (c["n"] == n)}[s.exclude]
     return _numbered(df, s).withColumn("_c", cells).withColumn(name, inner(F.transform(F.filter("_c", lambda c: keep(c) & c["v"].isNotNull()), lambda c: c["v"]))).drop("_c", "_d", "_n")
 
 
+def over_all(df: DataFrame, found: Mapping[str, tuple[Callable[[Column], Column], Column, Spec]]) -> DataFrame:
+    """df with name = function(x) OVER s for each (function, x, s); the specs share partition and order."""
+    first = next(iter(found.values()))[2]
+    out = _numbered(df, first) if any(s.unit == "groups" for _, _, s in found.values()) else df
+    cells = {n: f(x).over(_frame(s) if s.unit == "groups" else spec(s)) for n, (f, x, s) in found.items()}
+    return out.withColumns(cells).drop("_d", "_n")
+
+
 def _sum(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + v.cast("double")))
 

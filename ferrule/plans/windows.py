@@ -96,11 +96,8 @@ _GROUPS = [(n, a, b, sql) for n, a, b, sql in _ROWS]
 
 @R.add("frame_groups", "SELECT event_id, " + ", ".join(f"count(*) OVER (PARTITION BY event_type ORDER BY user_id GROUPS BETWEEN {sql}) AS {n}" for n, _, _, sql in _GROUPS) + " FROM events")
 def _(t):
-    w = Window.partitionBy("event_type").orderBy("user_id")
-    numbered = t("events").withColumn("_d", F.dense_rank().over(w))
-    g = Window.partitionBy("event_type").orderBy("_d")
-    bound = lambda n, low: (Window.unboundedPreceding if low else Window.unboundedFollowing) if n is None else n
-    return numbered.select("event_id", *(F.count("*").over(g.rangeBetween(bound(a, True), bound(b, False))).alias(n) for n, a, b, _ in _GROUPS))
+    spec = lambda a, b: win.Spec(("event_type",), (F.col("user_id"),), "groups", a, b)
+    return win.over_all(t("events"), {n: (F.count, F.lit(1), spec(a, b)) for n, a, b, _ in _GROUPS}).select("event_id", *(n for n, *_ in _GROUPS))
 
 
 @R.add("frame_groups_over", "SELECT event_id, sum(value) OVER (PARTITION BY event_type ORDER BY user_id GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) > 0 AS positive, max(value) OVER (PARTITION BY event_type ORDER BY user_id GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS top FROM events")

@@ -29,7 +29,7 @@ def expected(unit, low, high, exclude, function):
 
 
 @pytest.mark.parametrize("exclude", [None, "current row", "group", "ties"])
-@pytest.mark.parametrize("unit, low, high", [("groups", -1, 1), ("groups", 0, None), ("groups", None, -1), ("rows", -1, 1), ("rows", 1, 2)])
+@pytest.mark.parametrize("unit, low, high", [("groups", -1, 1), ("groups", 0, None), ("groups", None, -1), ("rows", -1, 1), ("rows", 1, 2), ("rows", -1, None), ("rows", 1, None), ("groups", 1, None), ("groups", -1, None)])
 def test_frames(peers, unit, low, high, exclude):
     order = (F.col("k"), F.col("id")) if unit == "rows" else (F.col("k"),)
     s = win.Spec(("g",), order, unit, low, high, exclude, ("k",))
