@@ -66,6 +66,47 @@ def test_substring(spark, size):
     assert sorted((tuple(r) for r in got), key=str) == substring_reference(rows, size)
 
 
+def test_substring_with_weak_hashes(monkeypatch):
+    """Words decide: with hashes of 4 bits the matches are the same."""
+    import pyarrow as pa
+
+    r = random.Random(8)
+    passages = [long_text(r.randint(13, 30), k).encode() for k in range(4)]
+    texts = [b" ".join(r.sample([*passages, long_text(12, 50 + d).encode()], 3)) for d in range(12)]
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    least, want = {}, set()
+    words = [t.split() for t in texts]
+    grams = [(d, i, tuple(w[i : i + 13])) for d, w in enumerate(words) for i in range(len(w) - 12)]
+    for d, _, g in grams:
+        least.setdefault(g, d)
+    want = {(d, i) for d, i, g in grams if least[g] < d}
+    strong = substring.tx.ngram_hashes
+    runs = substring.anchors(raw, off)
+    rows = pa.table({"data": [_packet(runs)]})
+    monkeypatch.setattr(substring.tx, "ngram_hashes", lambda h, n: strong(h, n) & np.uint64(15) if n == 13 else strong(h, n))
+    out = substring._extend(rows, 13)
+    got = set()
+    for d, data in zip(out["doc_id"].to_pylist(), out["runs"].to_pylist()):
+        for a, n in np.frombuffer(data, "<i4").reshape(-1, 2).tolist():
+            got.update((d, a + k) for k in range(n))
+    assert got == want and want
+
+
+def _packet(runs):
+    own, docs = np.arange(len(runs["row"])), np.unique(runs["row"])
+    length = runs["length"]
+    parts = [substring._planes(docs), docs.astype("<u4").tobytes(), substring._planes(np.searchsorted(docs, runs["row"])), substring._planes(runs["first"]), substring._pack((runs["n"] * 16 + runs["back"]).astype(np.uint16)), substring._planes(length), substring._pack(runs["text"][substring._ranges(runs["begin"][own], length)])]
+    return np.array([len(p) for p in parts], "<i4").tobytes() + b"".join(parts)
+
+
+def test_substring_one_anchor_in_many_contexts(spark):
+    """A phrase of six words that everyone uses, with other words around it, and one real repeat among them."""
+    rows = [(k, long_text(10, 3000 + k) + " as a matter of fact indeed " + long_text(10, 5000 + k)) for k in range(400)]
+    rows += [(1000, rows[7][1]), (None, rows[8][1]), (1001, "x " + rows[9][1][:-9])] + [(None, None)] * 50
+    got = substring.dedup(frame(spark, rows)).drop("kept").collect()
+    assert sorted((tuple(r) for r in got), key=str) == substring_reference(rows, 13)
+
+
 def test_substring_empty(spark):
     assert substring.dedup(frame(spark, [])).count() == 0
 
