@@ -185,6 +185,20 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     return _unplanes(ids)[local], np.frombuffer(tags, "<u4").astype(np.int64)[local], _unplanes(first), shape // 16, shape % 16, _unplanes(length), np.frombuffer(zlib.decompress(text), np.uint8)
 
 
+def _hashed(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """tx.words and tx.word_hashes of many texts, a slice at a time."""
+    starts, ends, bounds, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)], 0
+    for i, j in tx.slices(off):
+        own = raw[off[i] : off[j]]
+        start, end, rows = tx.words(own, off[i : j + 1] - off[i], tx.SPACE_WORDS)
+        hashes.append(tx.word_hashes(own, start, end))
+        starts.append(start + off[i])
+        ends.append(end + off[i])
+        bounds.append(rows[1:] + at)
+        at += len(start)
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate(bounds), np.concatenate(hashes)
+
+
 def _reach(h: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray, way: int) -> np.ndarray:
     """How many words from places a and b on, in one direction, are equal, up to limit."""
     far, alive = np.zeros(len(a), np.int64), limit > 0
@@ -200,8 +214,7 @@ def _reach(h: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray, way:
 def _extend(table: pa.Table, size: int) -> pa.Table:
     """Of one bucket: the matches with smaller documents, as runs of windows by document."""
     doc, tag, first, n, back, length, raw = (np.concatenate(x) for x in zip(*(_unpack(d.as_py()) for d in table.column("data"))))
-    start, end, bounds = tx.words(raw, np.concatenate([[0], np.cumsum(length)]), tx.SPACE_WORDS)
-    h = tx.word_hashes(raw, start, end)
+    start, end, bounds, h = _hashed(raw, np.concatenate([[0], np.cumsum(length)]))
     seed = bounds[:-1] + back
     _, group = np.unique(tx.ngram_hashes(h, SEED)[seed], return_inverse=True)
     low, high = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
