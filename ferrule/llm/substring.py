@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +40,23 @@ from ferrule.llm import text as tx
 from ferrule.session import plan_bytes
 
 SIZE, SEED = 13, 5
-#: Input bytes for each bucket of anchors and for each task, and the fewest and most buckets.
-BUCKET_BYTES, TASK_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 4 << 20, 16 << 20, 12, 1 << 24
+#: Input bytes for each bucket of anchors, the fewest and most buckets, and the most tasks that share them.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 4 << 20, 12, 1 << 24
+MOST_TASKS = 1 << 17
+LEVEL = 4  # of compression
 _U = np.uint64
 
 
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=LEVEL).compress(data)
+
+
+def _expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
+    return _squeeze(np.ascontiguousarray(a).tobytes())
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -55,7 +66,7 @@ def _planes(a: np.ndarray) -> bytes:
 
 
 def _unplanes(data: bytes) -> np.ndarray:
-    z = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+    z = np.ascontiguousarray(np.frombuffer(_expand(data), np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
     return np.cumsum((z >> 1) ^ -(z & 1))
 
 
@@ -181,8 +192,8 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     sizes = np.frombuffer(data[:28], "<i4")
     cuts = np.cumsum(np.concatenate([[28], sizes]))
     ids, tags, local, first, shape, length, text = (data[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
-    local, shape = _unplanes(local), np.frombuffer(zlib.decompress(shape), np.uint16).astype(np.int64)
-    return _unplanes(ids)[local], np.frombuffer(tags, "<u4").astype(np.int64)[local], _unplanes(first), shape // 16, shape % 16, _unplanes(length), np.frombuffer(zlib.decompress(text), np.uint8)
+    local, shape = _unplanes(local), np.frombuffer(_expand(shape), np.uint16).astype(np.int64)
+    return _unplanes(ids)[local], np.frombuffer(tags, "<u4").astype(np.int64)[local], _unplanes(first), shape // 16, shape % 16, _unplanes(length), np.frombuffer(_expand(text), np.uint8)
 
 
 def _hashed(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -264,7 +275,7 @@ def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         null = ids.is_null().to_numpy(zero_copy_only=False)
         spread = tx.mix(tags.astype(np.uint64) + (np.arange(len(tags), dtype=np.uint64) << _U(32))).view(np.int64)
         keys = np.where(null, spread, ids.fill_null(0).to_numpy(zero_copy_only=False))
-        packed = pa.array([zlib.compress(t, 1) for t in texts], pa.binary())
+        packed = pa.array([_squeeze(t) for t in texts], pa.binary())
         yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(np.where(null, -1, tags)), packed], ["doc_id", "key", "tag", "packed"])
 
 
@@ -286,7 +297,7 @@ def _cut(size: int, texts: bool):
         for batch in batches:
             begin, size_, out = 0, 0, []
             for r in range(len(batch)):
-                data = zlib.decompress(batch.column(1)[r].as_py())
+                data = _expand(batch.column(1)[r].as_py())
                 out.append(kept(data, batch.column(2)[r].as_py() or []))
                 size_ += len(data)
                 if size_ > tx.SLICE or r == len(batch) - 1:
@@ -316,8 +327,7 @@ def dedup(documents: DataFrame, size: int = SIZE, texts: bool = True) -> DataFra
             return table.select(["doc_id", "tag", "data"]).rename_columns(["doc_id", "tag", "runs"])
         return _extend(table, size)
 
-    tasks = max(4, -(-size_known // TASK_BYTES))
-    found = seeds.withColumn("bucket", spread).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(extend, hits)
+    found = seeds.withColumn("bucket", spread).repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(extend, hits)
     by_doc = found.groupBy(F.col("doc_id").alias("key"), "tag").agg(F.collect_list("runs").alias("runs"))
     packed = docs.mapInArrow(_shrunk, "doc_id long, key long, tag long, packed binary")
     joined = packed.join(by_doc, ["key", "tag"], "left")
