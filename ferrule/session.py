@@ -54,18 +54,28 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir). Where it is unset, as in tests, a folder of our own.
+    """This application's folder in the shared folder of the cluster (spark.checkpoint.dir). Where that is unset, as in
+    tests, a folder of our own, which goes with the process.
 
     A session that is not local and has no shared folder is refused: a machine-local folder would not be seen by
     other executors.
     """
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+        return f"{root.rstrip('/')}/ferrule-{context.applicationId}"
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = os.path.join(tempfile.gettempdir(), f"ferrule-stage-{os.getpid()}")
-    return f"file://{root}"
+    if not getattr(context, "_ferrule_staged", False):
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        context._ferrule_staged = True
+    return f"file://{root}/ferrule-{context.applicationId}"
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def stage(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
@@ -76,23 +86,34 @@ def stage(df: DataFrame, name: str = "stage", partition_by: str | None = None) -
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ferrule_path = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a frame that stage() made, once nothing that is still to run reads it."""
+    fs, at = _folder(df.sparkSession, df._ferrule_path)
+    fs.delete(at, True)
+
+
+#: Bytes of Parquet files that may be broadcast; in memory they take some ten times as much.
+MAX_BROADCAST_BYTES = 16 << 20
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """df staged, with a broadcast hint if it has at most so many rows; else Spark joins it by shuffle."""
+    """df staged, with a broadcast hint if it has at most so many rows and MAX_BROADCAST_BYTES; else Spark joins it by
+    shuffle."""
     df = stage(df, "side")
-    return F.broadcast(df) if df.count() <= rows else df
+    fs, at = _folder(df.sparkSession, df._ferrule_path)
+    small = fs.getContentSummary(at).getLength() <= MAX_BROADCAST_BYTES and df.count() <= rows
+    return F.broadcast(df) if small else df
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Delete what stage() left; for the end of a long session, when no staged frame is used any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(staging_root(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.listStatus(path) if fs.exists(path) else []:
-        if fs.isDirectory(status.getPath()):
-            fs.delete(status.getPath(), True)
+    """Delete what stage() left in this application; for when no staged frame is used any more."""
+    fs, at = _folder(spark, staging_root(spark))
+    fs.delete(at, True)
 
 
 def plan_bytes(df: DataFrame) -> int:
