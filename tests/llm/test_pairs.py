@@ -215,9 +215,18 @@ def test_decontamination(spark):
 
 
 def test_decontamination_by_shuffle_is_the_same(spark, monkeypatch):
-    rows, items = [(1, long_text(40, 1)), (2, long_text(40, 2))], [(1, long_text(40, 1))]
+    """Without broadcasts, with a document of 20,000 words and windows of very frequent words."""
+    common = "of the and to in a of the and to in a of the"
+    rows = [(1, long_text(40, 1)), (2, long_text(40, 2)), (3, long_text(20000, 5) + " " + common), (3, "x " * 3000 + common + " of the"), (4, " ".join([common] * 400)), (None, long_text(40, 1))]
+    items = [(1, long_text(40, 1)), (2, common + " and"), (3, "two words"), (4, common)]
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WINDOWS", 0)
-    got = decontaminate.judge(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).drop("text_hash").collect()
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = decontaminate.judge(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).drop("text_hash").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted((tuple(r) for r in got), key=str) == contamination_reference(rows, items)
 
 
