@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.session import stage
+from ferrule.session import stage, unstage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     edges = stage(edges, "edges")
     before = None
     for _ in range(rounds):
-        edges = stage(_star(_star(edges, True), False), "edges")
+        old, edges = edges, stage(_star(_star(edges, True), False), "edges")
+        unstage(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

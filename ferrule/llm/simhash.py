@@ -37,6 +37,8 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 3
 SHARED = 8 - MAX_BITS  # positional bytes that a linked pair shares at least
 POSITIONS, KEY = 7, 4  # of any 7 positions, a linked pair shares 4 at least
 BLOCK, LONG = 1024, 8192
+#: Fingerprints that a task turns into entries of lists.
+FINGERPRINTS = 20_000
 #: Ids of removed documents that may be broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -149,7 +151,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of each row."""
     prints = stage(fingerprints(documents), "fingerprints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(distinct.select("fp")))
+    # Few bytes hold many fingerprints, and each becomes an entry of 35 lists: spread them over tasks first.
+    tasks = max(1, -(-distinct.count() // FINGERPRINTS))
+    found = components(links(distinct.select("fp").repartition(tasks, "fp")))
     roots = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = stage(roots, "roots")
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
