@@ -7,8 +7,8 @@ times one slice of the filter, multiplied out once for all rows of the table), s
 Training is Adam on the driver over a bounded sample; the threshold of each language, told from the text's own
 function words, is fitted on labelled rows held back from training and moved to 0.5 by shifting the logit.
 
-Scale: the sample is bounded by MAX_SAMPLE labelled rows a class, chosen by hash from the labels alone, so its ids are
-few enough to broadcast; the model has a fixed size. Scoring is a narrow step over whole texts.
+Scale: the sample is bounded by MAX_SAMPLE labelled rows and MAX_SAMPLE_BYTES of text a class, chosen by hash from the
+labels alone, so its ids are few enough to broadcast; the model has a fixed size. Scoring is a narrow step over whole texts.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0. labels, lang, source and doc_id are never
 inputs of a score.
@@ -24,14 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.llm import text as tx
+from ferrule.session import stage
 
 FOLDS = 5
-#: The largest sample, of each class.
-MAX_SAMPLE = 4000
+#: The largest sample, of each class: rows, and bytes of text (a row that passes them is the last).
+MAX_SAMPLE, MAX_SAMPLE_BYTES = 4000, 24 << 20
 TABLE, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
 #: Bytes of a word that are hashed besides the whole word.
 PREFIXES = (4, 6)
@@ -214,24 +215,32 @@ def _fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def sample(documents: DataFrame, labels: DataFrame, bound: int = MAX_SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, bounds, languages, labels) of at most bound labelled rows a class, none of them held out."""
+def sample(documents: DataFrame, labels: DataFrame, bound: int = MAX_SAMPLE, size: int = MAX_SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, bounds, languages, labels) of at most bound labelled rows and size bytes of text a class, none of them held
+    out. Rows alike in doc_id and text count once."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(_fold(F.col("doc_id")) != 0).withColumn("h", F.xxhash64("doc_id"))
-    picked = known.where("toxic = 1").orderBy("h", "doc_id").limit(bound).union(known.where("toxic = 0").orderBy("h", "doc_id").limit(bound)).select("doc_id", "toxic")
+    picked = known.where("toxic = 1").orderBy("h", "doc_id").limit(bound).union(known.where("toxic = 0").orderBy("h", "doc_id").limit(bound)).select("doc_id", "h", F.col("toxic").cast("int").alias("toxic"))
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("th"))
+    texts = docs.join(F.broadcast(picked), "doc_id").groupBy("toxic", "h", "doc_id", "th").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("n"))
+    # Texts by class in order of hash: their number is bounded by the picked ids and their different texts.
+    before = F.sum("n").over(Window.partitionBy("toxic").orderBy("h", "doc_id", "th").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    chosen = stage(texts.withColumn("before", before).where(F.col("before") < size).select("doc_id", "th", "toxic"), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = tx.utf8(batch.column(1))
-            ids, bounds, h = ids_of(raw, off)
-            packed = [ids[a:b].astype("<i4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(languages_of(h, bounds)), batch.column(2)], ["doc_id", "ids", "lang", "toxic"])
+            for i, j in tx.slices(off):
+                ids, bounds, h = ids_of(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                packed = [ids[a:b].astype("<i4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                own = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(packed, pa.binary()), pa.array(languages_of(h, bounds)), own.column(3)], ["doc_id", "th", "ids", "lang", "toxic"])
 
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     width = 1 + len(PREFIXES)
-    found = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    rows = found.mapInArrow(run, "doc_id long, ids binary, lang long, toxic int").toArrow()
-    rows = rows.take(pa.array(np.lexsort((rows["ids"].to_numpy(), rows["doc_id"].to_numpy())))) if len(rows) else rows
+    same = docs["th"].eqNullSafe(chosen["th"]) & (docs["doc_id"] == chosen["doc_id"])
+    found = docs.join(F.broadcast(chosen), same).select(docs["doc_id"], "text", docs["th"], "toxic")
+    rows = found.mapInArrow(run, "doc_id long, th long, ids binary, lang long, toxic int").dropDuplicates(["doc_id", "th"]).toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("th", "ascending")])
     parts = [np.frombuffer(b.as_py(), "<i4").reshape(-1, width) for b in rows["ids"]]
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     return np.concatenate(parts) if parts else np.zeros((0, width), np.int32), bounds, rows["lang"].to_numpy(), rows["toxic"].to_numpy().astype(np.float32)
