@@ -29,10 +29,26 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Our vocabulary. Strict terms block alone; soft terms add up.
-STRICT = ("adult", "casino", "escort", "malware", "phishing", "porn", "spam", "viagra", "xxx")
-SOFT = {"ads": 1, "bet": 1, "bets": 1, "cheap": 1, "click": 1, "download": 1, "free": 1, "loan": 1, "loans": 1, "pills": 1, "prize": 1, "track": 1, "win": 1}
-SOFT_LIMIT = 2
+#: Our vocabulary. Strict terms block alone.
+STRICT = tuple(
+    """
+    adult casino casinos escort escorts hentai malware nsfw phishing porn porno poker ransomware sex sexcam slots
+    spam spyware torrent torrents viagra warez xxx
+    """.split()
+)
+#: Soft terms by weight: how much each says on its own. They add up, and no single one reaches SOFT_LIMIT.
+SOFT = {
+    **dict.fromkeys("ads bet bets betting bitcoin cialis crack cracked dating erotic forex gambling hacked jackpot keygen loan loans lottery lotto nude nudes payday pharmacy pills serial stripper wager weed".split(), 2),
+    **dict.fromkeys(
+        """
+        bonus buy cash cheap click clickbait coupon coupons credit crypto deals diet discount download earn fast free
+        gift girls hot income instant invest keto mobi money offer offers online order popup prize profit promo quick
+        redirect rich sale secret singles snap spin survey track tracker trial usd vip wholesale win winner winners
+        """.split(),
+        1,
+    ),
+}
+SOFT_LIMIT = 3
 
 _UPPER = {i: i + 32 for i in range(65, 91)}
 _PARTS = re.compile(r"://([^/?#]*)([^?#]*)")
