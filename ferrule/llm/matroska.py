@@ -109,6 +109,8 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
                 if inner in (CLUSTER, CUES, INFO, TRACKS):
                     break
                 n, inside = vint(data, inside, False)
+                if n is None:
+                    raise ValueError(f"an element of unknown size at {stop}, inside a cluster of unknown size")
                 stop = inside + n
         yield kind, body, stop
         at = stop
@@ -235,12 +237,22 @@ def media_column(documents: DataFrame) -> DataFrame:
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """(doc_id, n, track, timestamp_ms, start, size, cluster) of each packet of media (doc_id, media); null: none."""
+    """(doc_id, n, track, timestamp_ms, start, size, cluster, error) of each packet of media (doc_id, media).
+
+    null: no row. A file that can't be parsed gives one row, with the reason as error and nulls for the packet.
+    """
+
+    def packets(data: bytes) -> list[tuple]:
+        try:
+            return [(n, *p, None) for n, p in enumerate(read(data)[0])]
+        except (ValueError, IndexError, struct.error) as e:
+            return [(*[None] * 6, str(e))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r, n, *p) for r, m in enumerate(batch.column(1)) if m.is_valid for n, p in enumerate(read(m.as_py())[0])]
-            at, *cols = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n", "track", "timestamp_ms", "start", "size", "cluster"])
+            rows = [(r, *p) for r, m in enumerate(batch.column(1)) if m.is_valid for p in packets(m.as_py())]
+            at, *cols = list(zip(*rows)) or [()] * 8
+            kinds = [pa.int64()] * 6 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n", "track", "timestamp_ms", "start", "size", "cluster", "error"])
 
-    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, n long, track long, timestamp_ms long, start long, size long, cluster long")
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, n long, track long, timestamp_ms long, start long, size long, cluster long, error string")
