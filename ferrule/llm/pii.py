@@ -1,16 +1,18 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base entities (email, ip, card, phone, by fixed patterns) are the seeds. Every seed and every identifier-like string
-that no base pattern accepts is an instance, and stands in lexical patterns: the word before it together with its
-form (around an @, dotted, so many digits), and the word after it together with its form. Spark scores the bipartite graph of patterns and
-instances by rounds: a pattern's confidence for a kind is the smoothed mean score of its instances, an instance's
-score the noisy-or of its patterns' confidence; seeds stay at 1. Patterns that end above MIN_CONFIDENCE and stand on
-MIN_SEEDS different seeds discover: the unknown identifiers in them become spans of the pattern's kind. Base spans
-always stay.
+that no base pattern accepts is an instance, and stands in lexical patterns: the word before it, the two words before
+it, the word after it, and the words on both sides, each with the instance's form (around an @, dotted, so many
+digits). Spark scores the bipartite graph of patterns and instances by rounds: a pattern's confidence for a kind is the
+smoothed mean score of its instances, an instance's score the noisy-or of its trusted patterns' confidence; seeds and
+instances found before stay at 1. Patterns with a confidence of MIN_CONFIDENCE that stand on MIN_SEEDS different known
+instances are trusted. Instances they find become known and lend weight to further patterns, until a round finds none.
+All spans of the unknown instances in trusted patterns are added. Base spans always stay.
 
 Scale: one pass over the text gives base spans and occurrences, staged without the text. Graph edges are pre-aggregated
 to (pattern, instance), so a frequent pattern sends a row for each instance and task; scores are joined by key and no
-group is ever collected. Only discovered spans meet the documents again.
+group is ever collected. Each round finds one instance at least, and only few follow the first. Only discovered spans
+meet the documents again. Words and instances are taken whole, however long.
 
 Defined cases: null text is empty and has no spans. Rows alike in doc_id (null included) and text are judged alike and
 all returned. Offsets are code points, ends exclusive. Other columns are not read.
@@ -18,6 +20,7 @@ all returned. Offsets are code points, ends exclusive. Other columns are not rea
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 
@@ -34,10 +37,13 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Identifier-like strings: numbers of 7 digits and more with their usual punctuation, and words around an @.
-CANDIDATE = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,20}|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,64}")
+#: Numbers with their usual punctuation; those of LEAST_DIGITS digits and more are identifier-like, and so are words
+#: around an @.
+NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])*")
+LEAST_DIGITS = 7
+HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-")
 _WORD = re.compile(r"[^\W\d_]+")
-MIN_CONFIDENCE, MIN_SEEDS, ROUNDS = 0.9, 20, 3
+MIN_CONFIDENCE, MIN_SEEDS = 0.9, 20
 #: A pattern starts with this many unknown instances against it, so that rare ones can't be sure.
 DOUBT = 1.0
 MAX_BROADCAST_ROWS = 500_000
@@ -87,23 +93,52 @@ def _form(instance: str) -> str:
     if instance.count(".") == 3:
         return "dots"
     digits = sum(c in "0123456789" for c in instance)
-    return f"digits{next(n for n in (8, 11, 15, 16, 99) if digits <= n)}"
+    return f"digits{next((n for n in (8, 11, 15, 16) if digits <= n), 'more')}"
 
 
-def _around(text: str, start: int, end: int) -> tuple[str, str]:
-    """Patterns of an occurrence: the words next to it, within 40 characters, with its form."""
-    form = _form(text[start:end])
-    before, after = _WORD.findall(text[max(0, start - 40) : start]), _WORD.search(text, end, end + 40)
-    return f"{before[-1].lower() if before else ''}<{form}", f"{form}>{after[0].lower() if after else ''}"
+def candidates(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Identifier-like strings of a stretch of text that holds no base span, by start."""
+    free, at = begin, text.find("@", begin, end)
+    while at >= 0:
+        a = b = at
+        while a > free and text[a - 1] in LOCAL:
+            a -= 1
+        while b + 1 < end and text[b + 1] in HOST:
+            b += 1
+        if a < at < b:
+            yield from _numbers(text, free, a)
+            yield a, b + 1
+            free = b + 1
+        at = text.find("@", max(at, b) + 1, end)
+    yield from _numbers(text, free, end)
+
+
+def _numbers(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    for m in NUMBER.finditer(text, begin, end):
+        if sum(c in "0123456789" for c in m[0]) >= LEAST_DIGITS:
+            yield m.span()
 
 
 def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int, str, list[str]]]:
     """(kind of a seed or None, start, end, instance, patterns)."""
-    out = [(kind, a, b, text[a:b], list(_around(text, a, b))) for kind, a, b in spans]
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if all(b <= s or e <= a for _, s, e in spans):
-            out.append((None, a, b, m[0], list(_around(text, a, b))))
+    found: list[tuple[str | None, int, int]] = list(spans)
+    free = 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        found.extend((None, *c) for c in candidates(text, free, a))
+        free = max(free, b)
+    found.extend((None, *c) for c in candidates(text, free, len(text)))
+    if not found:
+        return []
+    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    out = []
+    for kind, a, b in found:
+        form, before, after = _form(text[a:b]), bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
+        left = [text[x:y].lower() for x, y in words[max(0, before - 2) : before]]
+        right = text[slice(*words[after])].lower() if after < len(words) else ""
+        near = left[-1] if left else ""
+        patterns = [f"{near}<{form}", f"{form}>{right}", f"{near}<{form}>{right}", f"{' '.join(left)}<<{form}"]
+        out.append((kind, a, b, text[a:b], patterns))
     return out
 
 
@@ -128,32 +163,29 @@ def scan(documents: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _score(edges: DataFrame, scores: DataFrame) -> DataFrame:
-    """Patterns by kind: (pattern, kind, confidence, seeds). edges: (pattern, instance); scores: (instance, kind, score, seed)."""
+def _confidence(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Patterns by kind: (pattern, kind, confidence, seeds). edges: (pattern, instance); known: (instance, kind)."""
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    sums = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-    return sums.join(sizes, "pattern").select("pattern", "kind", (F.col("s") / (F.col("n") + DOUBT)).alias("confidence"), "seeds")
+    sums = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
+    return sums.join(sizes, "pattern").select("pattern", "kind", (F.col("seeds") / (F.col("n") + DOUBT)).alias("confidence"), "seeds")
 
 
-def patterns(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence) of the patterns that may discover."""
+def patterns(scanned: DataFrame) -> DataFrame:
+    """(pattern, kind, confidence) of the trusted patterns, at the end of all rounds."""
     occ = scanned.select(F.explode("occ").alias("o")).select("o.*")
-    seeds = occ.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("score"), F.lit(True).alias("seed")).distinct()
-    seeds = stage(seeds, "seeds")
+    known = stage(occ.where("kind is not null").select("instance", "kind").distinct(), "known")
     edges = stage(occ.select(F.explode("patterns").alias("pattern"), "instance").distinct(), "graph")
-    # Patterns without any seed can't gain confidence from one: they are left out of the rounds.
-    alive = edges.join(edges.join(seeds.select("instance").distinct(), "instance", "left_semi").select("pattern").distinct(), "pattern", "left_semi")
-    edges = stage(alive, "graph")
-    scores = seeds
-    for _ in range(rounds):
-        found = stage(_score(edges, scores), "patterns")
-        trusted = found.where((F.col("confidence") > 0.5) & (F.col("seeds") >= MIN_SEEDS))
-        gained = edges.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.000001 - F.col("confidence"))))).alias("score"))
-        new = gained.join(seeds.select("instance").distinct(), "instance", "left_anti").select("instance", "kind", "score", F.lit(False).alias("seed"))
-        scores = seeds.union(new)
+    while True:
+        trusted = stage(_confidence(edges, known).where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS)), "patterns")
+        # The noisy-or of patterns that are each sure enough is sure enough: the best kind of an instance wins.
+        score = 1 - F.exp(F.sum(F.log(1.000001 - F.col("confidence"))))
+        unknown = edges.join(trusted, "pattern").groupBy("instance", "kind").agg(score.alias("score")).join(known.select("instance"), "instance", "left_anti")
+        gained = stage(unknown.groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")).select("instance", "kind"), "gained")
+        if gained.isEmpty():
+            break
+        known = stage(known.union(gained), "known")
     best = F.max_by(F.struct("kind", "confidence"), F.struct("confidence", "kind"))
-    sure = found.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS))
-    return sure.groupBy("pattern").agg(best.alias("b")).select("pattern", "b.kind", "b.confidence")
+    return trusted.groupBy("pattern").agg(best.alias("b")).select("pattern", "b.kind", "b.confidence")
 
 
 def discovered(scanned: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from tests.llm.test_pairs import TOKENIZER, contamination_reference, fingerprint
 # URLs ------------------------------------------------------------------------------------------------------------
 
 URLS = [
-    (1, "http://www.example.com/en/1"), (2, "https://blog.example.com/en/x?y"), (3, "http://a.net/es/1"), (4, "http://a.net/es"), (5, None), (6, "no scheme adult"), (7, "https://EXAMPLE.com"), (8, "x://h.org/free-pills"),
+    (1, "http://www.example.com/en/1"), (2, "https://blog.example.com/en/x?y"), (3, "http://a.net/es/1"), (4, "http://a.net/es"), (5, None), (6, "no scheme adult"), (7, "https://EXAMPLE.com"), (8, "x://h.org/free-pills"), (81, "x://h.org/pills"), (82, "x://h.org/win/cheap"), (83, "x://h.org/win/cheap?click"), (84, "x://loan.org/bets"),
     (9, "x://h.org/free"), (10, "x://h.org/freepills/spammy"), (11, "x://h.org/free?free#free"), (12, "http://notexample.com/en/"), (None, "http://c.org/casino"), (12, "http://notexample.com/en/"), (13, ""), (14, "://"),
 ]
 
@@ -65,9 +65,19 @@ def test_media_round_trip(spark):
     assert got == sorted(want, key=str)
     table = matroska.packet_table(matroska.media_column(frame(spark, rows)))
     assert table.count() == sum(w[2] // 576 for w in want)
+    assert table.where("error is not null").count() == 0
     assert matroska.media_digests(frame(spark, [])).count() == 0
 
 
+def test_broken_media_have_a_reason(spark):
+    media = matroska.write(b"x" * 576 * 40)
+    files = [media, media[:-7], b"", b"\x00\x01", media[:9], None, b"\x1f\x43\xb6\x75\xff" + b"\xa3\xff", ebml(matroska.SEGMENT, b"\x1f\x43\xb6\x75\xff\xa3\xff"), ebml(matroska.SEGMENT, ebml(matroska.CLUSTER, ebml(matroska.SIMPLE_BLOCK, b"\x81")))]
+    rows = matroska.packet_table(spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary")).collect()
+    assert collections.Counter(r.doc_id for r in rows if r.error is None) == {0: 40}
+    broken = {r.doc_id for r in rows if r.error is not None}
+    assert broken == {1, 3, 4, 6, 7, 8} and all(r.n is None for r in rows if r.error is not None)
+
+
 def ebml(kind, body):
     return matroska._element(kind, body)
 
@@ -191,6 +201,38 @@ def test_toxicity_awkward(spark):
     assert toxicity.score(frame(spark, []), labels).count() == 0
 
 
+def test_forward_pass_by_plain_loops(monkeypatch):
+    monkeypatch.setattr(toxicity, "TABLE", 97)
+    model = toxicity.Model(2)
+    texts = ["", None, "one", "Some words, and some more words", long_text(40, 3), "é É x1 x2"]
+    raw, off = toxicity.tx.utf8(toxicity.pa.array(texts, toxicity.pa.string()))
+    ids, bounds, _ = toxicity.ids_of(raw, off)
+    got = model.logits(ids, bounds)
+    hashed = lambda b: int(toxicity.tx.word_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+    for t, z in zip(texts, got):
+        words = [w.encode() for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
+        rows = []
+        for w in words:
+            keys = [hashed(w)] + [int(toxicity.tx.mix(np.array([hashed(w[:n])], np.uint64) + np.uint64(n))[0]) for n in toxicity.PREFIXES]
+            rows.append(sum(model.p["e"][k % 96 + 1].astype(float) for k in keys))
+        zero = 3 * model.p["e"][0].astype(float)  # the row that stands for no word
+        padded = (rows or [zero]) + [zero] * toxicity.PAD
+        pooled = []
+        for w in toxicity.WIDTHS:
+            sums = [sum(padded[i + j] @ model.p[f"w{w}"][j] for j in range(w)) for i in range(max(len(rows), 1))]
+            pooled.extend(np.max(sums, axis=0) + model.p[f"b{w}"])
+        assert z == pytest.approx(float(np.maximum(pooled, 0) @ model.p["o"] + model.p["c"][0]), rel=1e-4, abs=1e-5)
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    texts = [(k, long_text(200, k)) for k in range(40)] * 2
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    whole = toxicity.sample(frame(spark, texts), labels)
+    assert len(whole[3]) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(40))
+    some = toxicity.sample(frame(spark, texts), labels, size=4000)
+    assert 2 <= len(some[3]) < len(whole[3]) and len(set(some[3])) == 2
+
+
 def test_gradients_are_those_of_the_loss(monkeypatch):
     monkeypatch.setattr(toxicity, "TABLE", 50)
     model = toxicity.Model(1)
@@ -269,6 +311,74 @@ def test_pii_discovers_by_context(spark):
     assert clean[300] == "ring us: mailto <EMAIL> now" and clean[101] == rows[41][1] and clean[0] == "please telephone <PHONE> today"
 
 
+def discovery_reference(rows):
+    """Graph, rounds and spans of discovery by plain loops: {row: added spans}."""
+    occ = [(d, o) for d, t in rows for o in pii.occurrences(t or "", pii.base(t or ""))]
+    known = {(o[3], o[0]) for _, o in occ if o[0]}
+    edges = {(p, o[3]) for _, o in occ for p in o[4]}
+    while True:
+        inside = collections.defaultdict(set)
+        for p, i in edges:
+            inside[p].add(i)
+        trusted = {}
+        for p, members in inside.items():
+            for kind in pii.KINDS:
+                seeds = sum((i, kind) in known for i in members)
+                if seeds >= pii.MIN_SEEDS and seeds / (len(members) + pii.DOUBT) >= pii.MIN_CONFIDENCE:
+                    trusted[p, kind] = seeds / (len(members) + pii.DOUBT)
+        doubt = collections.defaultdict(lambda: 1.0)
+        for (p, kind), c in trusted.items():
+            for i in inside[p] - {i for i, _ in known}:
+                doubt[i, kind] *= 1.000001 - c
+        if not doubt:
+            break
+        known |= {(i, max((1 - v, k) for (j, k), v in doubt.items() if j == i)[1]) for i, _ in doubt}
+    best = {}
+    for (p, kind), c in trusted.items():
+        best[p] = max(best.get(p, (0, "")), (c, kind))
+    out = collections.defaultdict(set)
+    for d, (kind, a, b, _, patterns) in occ:
+        if kind is None and (met := [best[p] for p in patterns if p in best]):
+            out[d].add(f"{max(met)[1]}:{a}:{b}")
+    return out
+
+
+def planted(seed=5):
+    """Texts with identifiers that no base pattern takes, in contexts that seeds teach, some only in a second round."""
+    r = random.Random(seed)
+    number = lambda: f"({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}"
+    rows, secret = [], {}
+    for k in range(600):
+        filler = long_text(r.randint(1, 6), 900 + k)
+        rows.append((k, f"{filler} telephone +1 {number()} office {filler}"))
+    unknown = lambda: f"({r.randint(200, 999)}) {r.randint(100, 999)}-{r.randint(10000, 99999)}"
+    for k in range(600, 643):
+        secret[k] = unknown()
+        taught = f"my telephone {secret[k]} office or " if k < 640 else ""  # the last ones only where those before taught
+        rows.append((k, f"{taught}reach fax {secret[k]} desk"))
+    for k in range(700, 760):
+        rows.append((k, f"order {r.randint(10**7, 10**9)} paid in {long_text(2, k)}"))
+    return rows, secret
+
+
+def test_pii_bootstrap_against_plain_loops(spark):
+    rows, secret = planted()
+    got = {x.doc_id: x.spans for x in pii.find(frame(spark, rows)).collect()}
+    extra = {d: {s for s in got[d].split(",") if s} - {f"{k}:{a}:{b}" for k, a, b in pii.base(t)} for d, t in rows}
+    want = discovery_reference(rows)
+    assert extra == {d: want.get(d, set()) for d, _ in rows}
+    found = {d for d, n in secret.items() if any(dict(rows)[d][int(s.split(":")[1]) : int(s.split(":")[2])] == n for s in extra[d])}
+    assert len(found) >= 0.9 * len(secret) and not any(extra[d] for d in extra if d not in secret)
+
+
+def test_pii_takes_long_identifiers_whole(spark):
+    rows = [(k, f"contact mailto a{k}@h{k}.org now") for k in range(40)]
+    rows += [(100, f"contact mailto {'x' * 3000}@{'y' * 2000} now"), (101, "97.51.17.173 4845168114407329 next")]
+    got = {x.doc_id: x.spans for x in pii.find(frame(spark, rows)).collect()}
+    assert got[100] == "email:15:5016"
+    assert [o[1:3] for o in pii.occurrences(rows[-1][1], pii.base(rows[-1][1])) if o[0] is None] == [(13, 29)]
+
+
 def test_redaction_leaves_nothing(spark):
     rows = list(enumerate(TEXTS)) + AWKWARD
     out = pii.redact(frame(spark, rows))
