@@ -97,8 +97,8 @@ def unstage(df: DataFrame) -> None:
     fs.delete(at, True)
 
 
-#: Bytes of Parquet files that may be broadcast; in memory they take some ten times as much.
-MAX_BROADCAST_BYTES = 16 << 20
+#: Bytes of Parquet files that may be broadcast; in memory they take up to some 25 times as much.
+MAX_BROADCAST_BYTES = 4 << 20
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
