@@ -111,8 +111,10 @@ def judge(documents: DataFrame, items: DataFrame, size: int = SIZE, share: int =
     found = stage(candidates(documents, broadcast_if_small(table, MAX_BROADCAST_WINDOWS), lengths), "met")
     met = broadcast_if_small(found.where(F.size("met") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "met"), MAX_BROADCAST_ROWS)
     same = documents["doc_id"].eqNullSafe(met["_id"]) & (F.xxhash64(documents["text"]) == met["_h"])
-    texts = documents.join(met, same).select("_id", "_h", words(documents["text"]).alias("w"), "met")
-    exact = F.filter("met", lambda m: F.slice("w", m["s"] + 1, F.size(m["win"])) == m["win"])
+    # In a lambda's own variable, so that a text is cut into words once and not for each of its windows.
+    both = F.array(F.struct(words(documents["text"]).alias("w"), F.col("met").alias("met")))
+    exact = F.transform(both, lambda x: F.filter(x["met"], lambda m: F.slice(x["w"], m["s"] + 1, F.size(m["win"])) == m["win"]))[0]
+    texts = documents.join(met, same)
     hits = F.array_sort(F.transform("hits", lambda m: F.struct(m["s"].alias("s"), (m["s"] + F.size(m["win"])).alias("e"))))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     grown = F.aggregate(
