@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions.operators import affinity, lit
 from ferrule.operators import dml
-from ferrule.operators.relational import index_layout
+from ferrule.operators.relational import index_layout, with_rowid
 from ferrule.session import stage
 
 
@@ -41,8 +41,10 @@ class ForeignKey:
     columns: tuple[str, ...]
     parent: str
     parent_columns: tuple[str, ...]
-    on_delete: str = "no action"  # or cascade, set null, restrict
+    on_delete: str = "no action"  # or cascade, set null, set default, restrict
     on_update: str = "no action"
+    match: str = "none"  # kept for foreign_key_list; a key with a NULL is always fine
+    deferred: bool = False  # checked at the end of a transaction
 
 
 @dataclass(frozen=True)
@@ -296,6 +298,8 @@ class Database:
                     self._fail(f"CHECK constraint failed: {check}")
         if self.settings["foreign_keys"] and not self.settings["defer_foreign_keys"]:
             for fk in table.foreign_keys:
+                if fk.deferred and self._begun is not None:
+                    continue
                 if not dml.foreign_key_violations(rows, fk.columns, self.table(fk.parent), fk.parent_columns).isEmpty():
                     self._fail("FOREIGN KEY constraint failed")
 
@@ -303,27 +307,56 @@ class Database:
         for columns, where in self._keys(table):
             self._unique(df, columns, where, table.name)
 
-    def _orphans(self, name: str, before: DataFrame, after: DataFrame) -> None:
-        """Foreign key actions on children of rows that are gone from a parent table."""
+    def _referenced(self, name: str) -> list[tuple[Table, ForeignKey]]:
+        """The tables' keys that refer to a table, if foreign keys are on."""
         if not self.settings["foreign_keys"]:
+            return []
+        return [(t, fk) for t in self.state.tables.values() for fk in t.foreign_keys if fk.parent.lower() == name]
+
+    def _orphans(self, name: str, before: DataFrame, after: DataFrame) -> None:
+        """ON DELETE of the children of rows that are gone from a parent table."""
+        for child, fk in self._referenced(name):
+            olds = [f"_old{i}" for i in range(len(fk.columns))]
+            gone = before.select(*fk.parent_columns).subtract(after.select(*fk.parent_columns)).toDF(*olds)
+            self._act(child, fk, gone, fk.on_delete)
+
+    def _followers(self, name: str, pairs: DataFrame, after: DataFrame) -> None:
+        """ON UPDATE of the children of rows with new keys. pairs: the parent's columns as _before_x and _after_x."""
+        for child, fk in self._referenced(name):
+            olds, news = [f"_old{i}" for i in range(len(fk.columns))], [f"_new{i}" for i in range(len(fk.columns))]
+            moved = F.lit(False)
+            for p in fk.parent_columns:
+                moved = moved | ~F.col(f"_before_{p}").eqNullSafe(F.col(f"_after_{p}"))
+            changed = pairs.where(moved).select(*(F.col(f"_before_{p}").alias(o) for p, o in zip(fk.parent_columns, olds)), *(F.col(f"_after_{p}").alias(n) for p, n in zip(fk.parent_columns, news)))
+            if fk.on_update in ("no action", "restrict"):  # another row may have taken the key over
+                there = after.select(*(F.col(p).alias(o) for p, o in zip(fk.parent_columns, olds)))
+                changed = changed.join(there, olds, "left_anti")
+            self._act(child, fk, changed, fk.on_update)
+
+    def _act(self, child: Table, fk: ForeignKey, keys: DataFrame, action: str) -> None:
+        """A foreign key's action on the child rows of some parent keys: _old0.., and _new0.. for ON UPDATE."""
+        rows = self.table(child.name)
+        keys = stage(keys, "keys")
+        same = [F.col(c) == F.col(f"_old{i}") for i, c in enumerate(fk.columns)]
+        hit = stage(rows.join(keys, same), "children")
+        if hit.isEmpty():
             return
-        for child in list(self.state.tables.values()):
-            for fk in child.foreign_keys:
-                if fk.parent.lower() != name:
-                    continue
-                gone = before.select(*fk.parent_columns).subtract(after.select(*fk.parent_columns))
-                names = [f"_p{i}" for i in range(len(fk.columns))]
-                hit = self.table(child.name).join(gone.toDF(*names), [F.col(c) == F.col(p) for c, p in zip(fk.columns, names)], "left_semi")
-                if hit.isEmpty():
-                    continue
-                rest = self.table(child.name).join(gone.toDF(*names), [F.col(c) == F.col(p) for c, p in zip(fk.columns, names)], "left_anti")
-                if fk.on_delete == "cascade":
-                    self._swap(child, rest, hit, "delete")
-                elif fk.on_delete == "set null":
-                    nulled = hit.withColumns({c: F.lit(None).cast(hit.schema[c].dataType) for c in fk.columns})
-                    self._swap(child, rest.unionByName(nulled), nulled, "update")
-                else:
-                    self._fail("FOREIGN KEY constraint failed")
+        if action in ("no action", "restrict"):
+            if not (fk.deferred and self._begun is not None and action == "no action"):
+                self._fail("FOREIGN KEY constraint failed")
+            return
+        rest = rows.join(keys, same, "left_anti")
+        if action == "cascade" and "_new0" not in keys.columns:
+            self._swap(child, rest, hit.select(*rows.columns), "delete")
+            return
+        defaults = {c.name: c.default for c in child.columns}
+        value = {
+            "cascade": lambda i, c: F.col(f"_new{i}"),
+            "set null": lambda i, c: F.lit(None),
+            "set default": lambda i, c: F.expr(defaults[c] or "NULL"),
+        }[action]
+        new = hit.withColumns({c: value(i, c).cast(rows.schema[c].dataType) for i, c in enumerate(fk.columns)}).select(*rows.columns)
+        self._swap(child, rest.unionByName(new), new, "update", list(fk.columns))
 
     # Data changes ------------------------------------------------------------------------------------------------
 
@@ -340,8 +373,11 @@ class Database:
                 finally:
                     self._depth -= 1
 
-    def _swap(self, table: Table, df: DataFrame, touched: DataFrame, event: str, changed: Sequence[str] = ()) -> DataFrame:
-        """Put a table's new rows in place if constraints allow; else everything is as before the statement."""
+    def _swap(self, table: Table, df: DataFrame, touched: DataFrame, event: str, changed: Sequence[str] = (), pairs: DataFrame | None = None) -> DataFrame:
+        """Put a table's new rows in place if constraints allow; else everything is as before the statement.
+
+        pairs: of an UPDATE, the columns before and after it, row by row, for foreign keys and triggers.
+        """
         if self.settings["query_only"]:
             raise ValueError("attempt to write a readonly database")
         key, before = table.name.lower(), self.state
@@ -355,8 +391,10 @@ class Database:
                 self._check_table(table, df)
             old = self.state.data[key]
             self._set(data={**self.state.data, key: df})
-            if event != "insert":
+            if event == "delete":
                 self._orphans(key, old, df)
+            elif event == "update" and pairs is not None:
+                self._followers(key, pairs, df)
             self._fire(key, "after", event, touched, changed)
         except Exception:
             self.state = before
@@ -383,7 +421,7 @@ class Database:
         elif columns is not None:
             rows = rows.toDF(*columns)
         defaults = {c.name: F.expr(c.default) for c in table.columns if c.default}
-        new = dml.fill(rows, old, defaults, {c.name: F.expr(c.generated) for c in table.columns if c.generated})
+        new = dml.fill(dml.ordered(rows), old, defaults, {c.name: F.expr(c.generated) for c in table.columns if c.generated})
         new = self._numbered(table, old, new)
         keys = self._keys(table)
         if on_conflict is not None:
@@ -393,14 +431,17 @@ class Database:
         elif conflict in ("ignore", "replace") and keys:
             df, touched = old, new
             for columns_, _ in keys:
+                ranked = touched
                 if conflict == "ignore":
-                    touched = dml.insert_or_ignore(old, touched, columns_)[1]
+                    touched = dml.first_by_key(ranked, columns_, [dml.ORDER]).join(old.select(*columns_), list(columns_), "left_anti").select(*ranked.columns)
                 else:
-                    df, touched = dml.insert_or_replace(df, touched, columns_)
+                    touched = dml.first_by_key(ranked, columns_, [dml.ORDER], last=True)
                     df = df.join(touched.select(*columns_).distinct(), list(columns_), "left_anti").select(*old.columns)
+            touched = touched.select(*old.columns)
             df = (old if conflict == "ignore" else df).unionByName(touched)
         else:
-            df, touched = dml.insert(old, new), new
+            touched = new.drop(dml.ORDER)
+            df = dml.insert(old, touched)
         try:
             touched = self._swap(table, df, touched, "insert")
         except ConstraintError:
@@ -420,7 +461,7 @@ class Database:
         if missing.isEmpty():
             return new
         top = max(old.agg(F.max(key)).first()[0] or 0, new.agg(F.max(key)).first()[0] or 0, self.state.sequences.get(table.name.lower(), 0) if table.autoincrement else 0)
-        numbered = dml.running_number(missing, top, [c for c in new.columns if c != key], key).select(*new.columns)
+        numbered = dml.running_number(missing, top, [dml.ORDER], key).select(*new.columns)
         if table.autoincrement:
             self._set(sequences={**self.state.sequences, table.name.lower(): top + missing.count()})
         return new.where(F.col(key).isNotNull()).unionByName(numbered)
@@ -440,22 +481,28 @@ class Database:
     def update(self, name: str, set_: Mapping[str, Column | object], where: Column | None = None, source: DataFrame | None = None, on: Column | None = None, key: Sequence[str] | None = None, order: Sequence[Column] = (), limit: int | None = None, offset: int = 0) -> DataFrame:
         """UPDATE [FROM source] [ORDER BY LIMIT OFFSET]; returns the changed rows."""
         table, old = self.state.tables[name.lower()], self.table(name)
-        changes, key = self._changes(table, set_), list(key or table.primary_key or old.columns)
+        changes = self._changes(table, set_)
+        follow = self._referenced(name.lower()) or any(t.table == name.lower() and t.event == "update" for t in self.state.triggers.values())
+        rows = dml.ordered(old, dml.ROW) if follow or limit is not None or not (key or table.primary_key) else old
+        key = [dml.ROW] if dml.ROW in rows.columns else list(key or table.primary_key)
         if source is not None:
-            df, touched = dml.update_from(old, source, on if where is None else on & where, changes, key)
+            df, touched = dml.update_from(rows, source, on if where is None else on & where, changes, key)
         elif limit is not None:
-            df, touched = dml.update_limited(old, key, changes, where, order, limit, offset)
+            df, touched = dml.update_limited(rows, key, changes, where, [*order, F.col(dml.ROW)], limit, offset)
         else:
-            df, touched = dml.update(old, changes, where)
-        return self._swap(table, self._regenerate(table, df), self._regenerate(table, touched), "update", list(set_))
+            df, touched = dml.update(rows, changes, where)
+        df, touched = self._regenerate(table, df), self._regenerate(table, touched)
+        pairs = None
+        if follow:
+            touched = stage(touched, "touched")
+            before = rows.select(dml.ROW, *(F.col(c).alias(f"_before_{c}") for c in old.columns))
+            pairs = stage(before.join(touched.select(dml.ROW, *(F.col(c).alias(f"_after_{c}") for c in old.columns)), dml.ROW), "pairs")
+        return self._swap(table, df.drop(dml.ROW), touched.drop(dml.ROW), "update", list(set_), pairs)
 
     def delete(self, name: str, where: Column | None = None, key: Sequence[str] | None = None, order: Sequence[Column] = (), limit: int | None = None, offset: int = 0) -> DataFrame:
         """DELETE [ORDER BY LIMIT OFFSET]; returns the deleted rows."""
         table, old = self.state.tables[name.lower()], self.table(name)
-        if limit is not None:
-            df, gone = dml.delete_limited(old, list(key or table.primary_key or old.columns), where, order, limit, offset)
-        else:
-            df, gone = dml.delete(old, where)
+        df, gone = dml.delete_limited(old, None, where, order, limit, offset) if limit is not None else dml.delete(old, where)
         return self._swap(table, df, gone, "delete")
 
     # Transactions ------------------------------------------------------------------------------------------------
@@ -470,7 +517,7 @@ class Database:
     def commit(self) -> None:
         if self._begun is None:
             raise ValueError("cannot commit - no transaction is active")
-        if self.settings["foreign_keys"] and self.settings["defer_foreign_keys"]:
+        if self.settings["foreign_keys"] and (self.settings["defer_foreign_keys"] or any(fk.deferred for t in self.state.tables.values() for fk in t.foreign_keys)):
             if not self.pragma("foreign_key_check").isEmpty():
                 self._fail("FOREIGN KEY constraint failed")
         self._begun, self._savepoints = None, []
@@ -629,17 +676,20 @@ class Database:
 
     def _pragma_foreign_key_list(self, name) -> DataFrame:
         t = self.state.tables[str(name).lower()]
-        rows = [(k, seq, f.parent, a, b, f.on_update.upper(), f.on_delete.upper(), "NONE") for k, f in enumerate(t.foreign_keys) for seq, (a, b) in enumerate(zip(f.columns, f.parent_columns))]
+        rows = [(k, seq, f.parent, a, b, f.on_update.upper(), f.on_delete.upper(), f.match.upper()) for k, f in enumerate(t.foreign_keys) for seq, (a, b) in enumerate(zip(f.columns, f.parent_columns))]
         return self._rows("id long, seq long, table string, from string, to string, on_update string, on_delete string, match string", rows)
 
     def _pragma_foreign_key_check(self, name) -> DataFrame:
-        """(table, parent, fkid, n): keys without parent, counted."""
-        out = self._rows("table string, parent string, fkid long, n long", [])
+        """(table, rowid, parent, fkid): a row for each child row without parent; rowid is its place, or its integer key."""
+        out = self._rows("table string, rowid long, parent string, fkid long", [])
         for t in self.state.tables.values():
             if name is None or t.name.lower() == str(name).lower():
+                rows = self.table(t.name)
+                whole = len(t.primary_key) == 1 and dict(rows.dtypes)[t.primary_key[0]] == "bigint"
+                numbered = rows.withColumn(dml.ROW, F.col(t.primary_key[0])) if whole else with_rowid(dml.ordered(rows), [dml.ORDER], dml.ROW)
                 for k, f in enumerate(t.foreign_keys):
-                    bad = dml.foreign_key_violations(self.table(t.name), f.columns, self.table(f.parent), f.parent_columns)
-                    out = out.union(bad.groupBy().agg(F.count("*").alias("n")).where("n > 0").select(F.lit(t.name), F.lit(f.parent), F.lit(k).cast("long"), "n"))
+                    bad = dml.foreign_key_violations(numbered, f.columns, self.table(f.parent), f.parent_columns)
+                    out = out.union(bad.select(F.lit(t.name), F.col(dml.ROW).cast("long"), F.lit(f.parent), F.lit(k).cast("long")))
         return out
 
     # Files -------------------------------------------------------------------------------------------------------

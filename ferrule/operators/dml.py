@@ -1,6 +1,7 @@
 """Data changes as copy-on-write DataFrame transforms: each returns the new table and, where asked, the affected rows.
 
-Keys with a NULL never conflict, as in unique indexes. Joins on keys are equality joins.
+Keys with a NULL never conflict, as in unique indexes. Joins on keys are equality joins. Rows count in the order in which
+they are given: ordered() numbers them, and of several new rows with one key the first or last by that number is meant.
 """
 
 from __future__ import annotations
@@ -10,10 +11,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.session import stage
+
+
+#: A column with the place of a new row among the rows of its statement, and one that names a row of a table.
+ORDER, ROW = "_ord", "_rid"
+
+
+def ordered(rows: DataFrame, name: str = ORDER) -> DataFrame:
+    """rows with their place in the input, staged, so that it stays the same however often they are read."""
+    return stage(rows.withColumn(name, F.monotonically_increasing_id()), "rows")
+
 
 def fill(rows: DataFrame, like: DataFrame, defaults: Mapping[str, Column] | None = None, generated: Mapping[str, Column] | None = None) -> DataFrame:
     """rows with all columns of a table: missing ones from defaults (else NULL), generated ones computed; its types."""
-    given, defaults, generated = set(rows.columns), defaults or {}, generated or {}
+    given, defaults, generated = set(rows.columns) - {ORDER}, defaults or {}, generated or {}
+    kept = [ORDER] if ORDER in rows.columns else []
     if bad := given & set(generated):
         raise ValueError(f"cannot INSERT into generated column {sorted(bad)[0]!r}")
     if bad := given - set(like.columns):
@@ -23,7 +36,7 @@ def fill(rows: DataFrame, like: DataFrame, defaults: Mapping[str, Column] | None
             rows = rows.withColumn(f.name, defaults.get(f.name, F.lit(None)).cast(f.dataType))
     for name, x in generated.items():
         rows = rows.withColumn(name, x)
-    return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in like.schema.fields))
+    return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in like.schema.fields), *kept)
 
 
 def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -45,15 +58,24 @@ def first_by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     return best.select(*rows.columns).unionByName(rows.where(~known))
 
 
+def _place(rows: DataFrame, order: Sequence[str | Column] | None) -> tuple[DataFrame, Sequence[str | Column]]:
+    """rows and the order that counts: the one given, else that of the input."""
+    if order is not None:
+        return rows, order
+    return (rows if ORDER in rows.columns else ordered(rows)), [ORDER]
+
+
 def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """INSERT OR IGNORE and ON CONFLICT DO NOTHING: (table, inserted rows)."""
-    new = first_by_key(rows, keys, order or rows.columns).join(table.select(*keys), list(keys), "left_anti").select(*table.columns)
+    """INSERT OR IGNORE and ON CONFLICT DO NOTHING: (table, inserted rows). The first of several new rows stays."""
+    rows, order = _place(rows, order)
+    new = first_by_key(rows, keys, order).join(table.select(*keys), list(keys), "left_anti").select(*table.columns)
     return table.unionByName(new), new
 
 
 def insert_or_replace(table: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """INSERT OR REPLACE and REPLACE INTO: new rows push out old ones with their key, the last of several new ones stays."""
-    new = first_by_key(rows, keys, order or rows.columns, last=True)
+    rows, order = _place(rows, order)
+    new = first_by_key(rows, keys, order, last=True).select(*table.columns)
     kept = table.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*table.columns)
     return kept.unionByName(new), new
 
@@ -61,10 +83,27 @@ def insert_or_replace(table: DataFrame, rows: DataFrame, keys: Sequence[str], or
 def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], changes: Mapping[str, Column], where: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """ON CONFLICT (keys) DO UPDATE SET changes [WHERE where]: (table, inserted and updated rows).
 
-    changes and where speak of the old row by column names and of the new one by names with the prefix excluded_ . Of
-    several new rows with one key the last by all columns counts.
+    changes and where speak of the old row by column names and of the new one by names with the prefix excluded_ .
+    Several new rows with one key work one after the other: a round for the first ones of all keys, a round for the
+    second ones, and so on, each over the table that the one before left.
     """
-    new = first_by_key(rows, keys, rows.columns, last=True)
+    rows, _ = _place(rows, None)
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    turn = F.when(known, F.row_number().over(Window.partitionBy(*keys).orderBy(ORDER))).otherwise(1)
+    turns = stage(rows.withColumn("_turn", turn), "turns")
+    last = turns.agg(F.max("_turn")).first()[0] or 1
+    touched = None
+    for n in range(1, last + 1):
+        table, own = _upsert_once(table, turns.where(F.col("_turn") == n).drop("_turn", ORDER), keys, changes, where)
+        if n < last:
+            table, own = stage(table, "table"), stage(own, "touched")
+        touched = own if touched is None else touched.unionByName(own)
+    return table, touched
+
+
+def _upsert_once(table: DataFrame, new: DataFrame, keys: Sequence[str], changes: Mapping[str, Column], where: Column | None) -> tuple[DataFrame, DataFrame]:
     named = new.select(*(F.col(c).alias(f"excluded_{c}") for c in new.columns), F.lit(True).alias("_new"))
     on = [F.col(k) == F.col(f"excluded_{k}") for k in keys]
     both = table.withColumn("_old", F.lit(True)).join(named, on, "full")
@@ -115,16 +154,33 @@ def limited(table: DataFrame, where: Column | None, order: Sequence[Column], lim
     return rows.limit(limit) if limit >= 0 else rows
 
 
-def delete_limited(table: DataFrame, key: Sequence[str], where: Column | None, order: Sequence[Column], limit: int, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    gone = limited(table, where, order, limit, offset)
-    return table.join(gone.select(*key), list(key), "left_anti").select(*table.columns), gone
-
-
-def update_limited(table: DataFrame, key: Sequence[str], changes: Mapping[str, Column], where: Column | None, order: Sequence[Column], limit: int, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    touched = limited(table, where, order, limit, offset)
-    rest = table.join(touched.select(*key), list(key), "left_anti").select(*table.columns)
+def _without(table: DataFrame, key: Sequence[str], gone: DataFrame) -> DataFrame:
+    """The rows of table that aren't in gone, by key; NULLs in it are equal."""
+    named = gone.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)))
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return table.join(named, same, "left_anti")
+
+
+def delete_limited(table: DataFrame, key: Sequence[str] | None, where: Column | None, order: Sequence[Column], limit: int, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """DELETE ... ORDER BY ... LIMIT: (table, deleted rows). key identifies rows; None: their places in the table do, and
+    decide between rows that the order leaves equal."""
+    if key is None:
+        left, gone = delete_limited(ordered(table, ROW), [ROW], where, [*order, F.col(ROW)], limit, offset)
+        return left.drop(ROW), gone.drop(ROW)
+    gone = stage(limited(table, where, order, limit, offset), "gone")
+    return _without(table, key, gone), gone
+
+
+def update_limited(table: DataFrame, key: Sequence[str] | None, changes: Mapping[str, Column], where: Column | None, order: Sequence[Column], limit: int, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """UPDATE ... ORDER BY ... LIMIT: (table, changed rows), with key as in delete_limited."""
+    if key is None:
+        left, new = update_limited(ordered(table, ROW), [ROW], changes, where, [*order, F.col(ROW)], limit, offset)
+        return left.drop(ROW), new.drop(ROW)
+    touched = stage(limited(table, where, order, limit, offset), "touched")
     new = update(touched, changes)[0]
-    return rest.unionByName(new), new
+    return _without(table, key, touched).unionByName(new), new
 
 
 # Constraints: each gives the offending rows; a statement passes if there are none. ---------------------------------

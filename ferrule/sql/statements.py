@@ -172,7 +172,7 @@ class Statements(Parser):
         scope, at = self._scope(table, alias), self.i
         # FROM comes after the assignments that speak of it: look ahead for it, then parse in order.
         depth = 0
-        while self.now.kind != "end" and self.now.text != ";" and not (depth == 0 and self.now.word in ("FROM", "WHERE", "RETURNING")):
+        while self.now.kind != "end" and self.now.text != ";" and not (depth == 0 and self.now.word in ("FROM", "WHERE", "RETURNING", "ORDER", "LIMIT")):
             depth += {"(": 1, ")": -1}.get(self.now.text, 0) if self.now.kind == "op" else 0
             self.take()
         source = None
@@ -342,15 +342,19 @@ class Statements(Parser):
         self.expect("REFERENCES")
         parent = self.identifier()
         key = self._names() if self.now.text == "(" else self.db.state.tables[parent.lower()].primary_key
-        actions = {}
+        actions: dict = {}
         while self.now.word in ("ON", "MATCH", "DEFERRABLE", "INITIALLY") or (self.now.word == "NOT" and self.ahead().word == "DEFERRABLE"):
             if self.accept("ON"):
                 event = self.take().word.lower()
                 first = self.take().word.lower()
                 actions[f"on_{event}"] = first if first in ("cascade", "restrict") else f"{first} {self.take().word.lower()}"
+            elif self.accept("MATCH"):
+                actions["match"] = self.take().word.lower()
+            elif self.accept("INITIALLY"):
+                actions["deferred"] = self.take().word == "DEFERRED" and actions.get("deferred") is not None
             else:
-                self.take()
-                self.accept("DEFERRED") or self.accept("IMMEDIATE") or self.accept("SIMPLE") or self.accept("FULL")
+                actions["deferred"] = None if self.accept("NOT", "DEFERRABLE") else self.accept("DEFERRABLE") and False
+        actions["deferred"] = bool(actions.get("deferred"))
         return ForeignKey(columns, parent, key, **actions)
 
     def _column_constraint(self, c: str, fields: dict, parts: dict, later: list) -> bool:

@@ -40,6 +40,46 @@ def test_constraints_stop_a_statement(db, row):
     assert rows(db.table("users")) == before
 
 
+def test_repeated_keys_count_in_the_order_of_input(db):
+    db.insert("users", [(8, "b", 1), (8, "a", 2)], on_conflict=["id"])
+    assert rows(db.table("users").where("id = 8"), "name") == [("b",)]
+    db.insert("users", [(9, "z", 1), (9, "y", 2)], conflict="replace")
+    assert rows(db.table("users").where("id = 9"), "name") == [("y",)]
+    db.insert("users", [(10, "x", 1), (10, "w", 2), (10, "v", 3), (1, "q", 5)], on_conflict=["id"], set_={"age": F.col("age") * 10 + F.col("excluded_age")})
+    assert rows(db.table("users").where("id in (1, 10)"), "id", "name", "age") == [(1, "ann", 305), (10, "x", 123)] and db.changes == 4
+
+
+def test_limits_without_a_key(db, spark):
+    db.execute("CREATE TABLE bag (a INT, b TEXT); INSERT INTO bag VALUES (1, 'x'), (1, 'x'), (NULL, NULL), (2, NULL)")
+    db.execute("DELETE FROM bag ORDER BY a LIMIT 1")
+    assert sorted(rows(db.table("bag")), key=str) == [(1, "x"), (1, "x"), (2, None)]
+    db.execute("DELETE FROM bag WHERE a = 1 LIMIT 1; UPDATE bag SET b = 'new' LIMIT 1")
+    assert sorted(rows(db.table("bag")), key=str) == [(1, "new"), (2, None)]
+
+
+@pytest.mark.parametrize("action, want", [("CASCADE", [(1, 2), (2, 3), (3, None)]), ("SET NULL", [(1, None), (2, None), (3, None)]), ("SET DEFAULT", [(1, 3), (2, 3), (3, None)])])
+def test_on_update_actions(spark, action, want):
+    d = Database(spark)
+    d.execute(f"""PRAGMA foreign_keys = ON; CREATE TABLE p (id INTEGER PRIMARY KEY); CREATE TABLE c (k INTEGER, p INTEGER DEFAULT 3 REFERENCES p (id) ON DELETE CASCADE ON UPDATE {action} MATCH SIMPLE);
+        INSERT INTO p VALUES (1), (2); INSERT INTO c VALUES (1, 1), (2, 2), (3, NULL); UPDATE p SET id = id + 1""")
+    assert sorted(rows(d.table("c")), key=str) == want
+    assert d.pragma("foreign_key_list", "c").first()["match"] == "SIMPLE"
+
+
+def test_restricted_and_deferred_keys(spark):
+    d = Database(spark)
+    d.execute("""PRAGMA foreign_keys = ON; CREATE TABLE p (id INTEGER PRIMARY KEY); CREATE TABLE c (p INTEGER REFERENCES p (id)); CREATE TABLE l (p INTEGER REFERENCES p (id) DEFERRABLE INITIALLY DEFERRED);
+        INSERT INTO p VALUES (1), (2); INSERT INTO c VALUES (1)""")
+    for sql in ("UPDATE p SET id = 9 WHERE id = 1", "DELETE FROM p WHERE id = 1", "INSERT INTO c VALUES (7)", "INSERT INTO l VALUES (7)"):
+        with pytest.raises(ConstraintError):
+            d.execute(sql)
+    d.execute("UPDATE p SET id = 9 WHERE id = 2; BEGIN; INSERT INTO l VALUES (7); INSERT INTO p VALUES (7); COMMIT; BEGIN; INSERT INTO l VALUES (8)")
+    with pytest.raises(ConstraintError):
+        d.execute("COMMIT")
+    d.execute("ROLLBACK")
+    assert rows(d.table("l")) == [(7,)]
+
+
 def test_null_passes_check(db):
     assert rows(db.insert("users", [(7, "n", None)])) == [(7, "n", None, None)]
 
@@ -69,7 +109,7 @@ def test_update_and_delete(db, spark):
 def test_foreign_keys(db):
     db.create_table(Table("posts", (ColumnDef("pid", "INTEGER"), ColumnDef("uid", "INTEGER")), foreign_keys=(ForeignKey(("uid",), "users", ("id",), on_delete="cascade"),)))
     db.insert("posts", [(1, 77)])
-    assert rows(db.pragma("foreign_key_check")) == [("posts", "users", 0, 1)]
+    assert rows(db.pragma("foreign_key_check")) == [("posts", 1, "users", 0)]
     db.delete("posts")
     db.pragma("foreign_keys", "on")
     with pytest.raises(ConstraintError):
