@@ -21,7 +21,7 @@ def fold(x: str) -> str:
 
 def text(v: Value) -> str:
     """A value as text; reals in plain notation for usual magnitudes."""
-    return v[0] if v[1] == "text" else f"CAST({v[0]} AS STRING)"
+    return v[0] if v[1] == "text" else f"ferrule_text({v[0]})" if v[1] == "real" else f"CAST({v[0]} AS STRING)"
 
 
 def _d(v: Value) -> str:
@@ -76,7 +76,7 @@ def _strict(name: str) -> Callable[..., Value]:
 
 
 def _iif(*xs: Value) -> Value:
-    pairs = [f"WHEN {condition(xs[k])} THEN {xs[k + 1][0]}" for k in range(0, len(xs) - 1, 2)]
+    pairs = [f"WHEN {truth(xs[k])} THEN {xs[k + 1][0]}" for k in range(0, len(xs) - 1, 2)]
     return f"CASE {' '.join(pairs)}{f' ELSE {xs[-1][0]}' if len(xs) % 2 else ''} END", xs[1][1]
 
 
@@ -85,6 +85,46 @@ def condition(v: Value) -> str:
     return v[0] if v[1] in ("bool", "any") else f"({_d(v)} <> 0)" if v[1] != "text" else f"({cast(v, 'REAL')[0]} <> 0)"
 
 
+def truth(v: Value) -> str:
+    """A value as the condition of CASE and IIF: there any text is true but the empty one and '0'."""
+    if v[1] in ("text", "blob"):
+        return f"({v[0]} <> '' AND {v[0]} <> '0')" if v[1] == "text" else f"(octet_length({v[0]}) > 0)"
+    return condition(v)
+
+
+def quoted(v: Value) -> str:
+    """A value as JSON, in the JVM."""
+    if v[1] == "json":
+        return f"coalesce({v[0]}, 'null')"
+    if v[1] in ("int", "bool"):
+        return f"coalesce(CAST({v[0]} AS STRING), 'null')"
+    if v[1] == "real":
+        return f"coalesce(ferrule_text({v[0]}), 'null')"
+    whole = f"to_json(named_struct('v', {text(v)}))"
+    return f"CASE WHEN {v[0]} IS NULL THEN 'null' ELSE substr({whole}, 6, length({whole}) - 6) END"
+
+
+def _extreme(name: str) -> Callable[..., Value]:
+    """Scalar min and max: numbers come before text and text before blobs; NULL if any is NULL."""
+    rank = {"int": 0, "real": 0, "bool": 0, "any": 0, "text": 1, "json": 1, "time": 1, "blob": 2}
+
+    def build(*xs: Value) -> Value:
+        xs = tuple((f"CAST({x[0]} AS INT)", "int") if x[1] == "bool" else x for x in xs)
+        best = (min if name == "least" else max)(rank[x[1]] for x in xs)
+        own = [x for x in xs if rank[x[1]] == best]
+        kind = own[0][1] if best else "real" if any(x[1] == "real" for x in own) else "int"
+        value = f"{name}({', '.join(x[0] for x in own)})" if len(own) > 1 else own[0][0]
+        return f"CASE WHEN {' AND '.join(f'{x[0]} IS NOT NULL' for x in xs)} THEN {value} END", kind
+
+    return build
+
+
+def _jsonb_extract(x: Value, p: Value) -> Value:
+    if p[0].startswith("'") and "#" not in p[0]:
+        return f"try_variant_get(parse_json({x[0]}), {p[0]})", "any"
+    return f"parse_json({python('json_part')(x, p)[0]})", "any"
+
+
 # Dates -----------------------------------------------------------------------------------------------------------
 
 _DAY, _CLOCK, _ZONE = "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.][0-9]+)?", "(?:Z|[+-][0-9]{2}:[0-9]{2})?"
@@ -181,9 +221,9 @@ FUNCTIONS: dict[str, Callable[..., Value]] = {
     "quote": lambda x: ((f"coalesce(concat('\\'', replace({x[0]}, '\\'', '\\'\\''), '\\''), 'NULL')" if x[1] == "text" else f"coalesce({text(x)}, 'NULL')"), "text"), "zeroblob": _f("unhex(repeat('00', CAST(greatest({0}, 0) AS INT)))", "blob"),
     "printf": python("printf"), "format": python("printf"), "unistr": python("unistr"), "unistr_quote": python("unistr_quote"),
     "coalesce": lambda *xs: (f"coalesce({', '.join(x[0] for x in xs)})", xs[0][1] if xs[0][1] != "any" else xs[1][1]), "ifnull": lambda x, y: (f"coalesce({x[0]}, {y[0]})", x[1] if x[1] != "any" else y[1]), "nullif": lambda x, y: (f"nullif({x[0]}, {y[0]})", x[1]),
-    "iif": _iif, "if": _iif, "min": _strict("least"), "max": _strict("greatest"), "subtype": _f("0", "int"), "likely": lambda x: x, "unlikely": lambda x: x, "likelihood": lambda x, p: x,
+    "iif": _iif, "if": _iif, "min": _extreme("least"), "max": _extreme("greatest"), "subtype": _f("0", "int"), "likely": lambda x: x, "unlikely": lambda x: x, "likelihood": lambda x, p: x,
     "typeof": lambda x: (f"CASE WHEN {x[0]} IS NULL THEN 'null' ELSE '{ {'int': 'integer', 'real': 'real', 'blob': 'blob', 'bool': 'integer'}.get(x[1], 'text') }' END", "text"),
-    "abs": lambda x: (f"abs({x[0]})", x[1]), "sign": lambda x: (f"CAST(signum(try_cast({x[0]} AS DOUBLE)) AS INT)", "int"), "round": lambda x, n=("0", "int"): (f"round({_d(x)}, {n[0]})", "real"), "mod": lambda x, y: (f"{_d(x)} % nullif({_d(y)}, 0D)", "real"),
+    "abs": lambda x: (f"abs({x[0]})", x[1]), "sign": lambda x: (f"CAST(signum(try_cast({x[0]} AS DOUBLE)) AS INT)", "int"), "round": lambda x, n=("0", "int"): (f"ferrule_round({_d(x)}, CAST({n[0]} AS INT))", "real"), "mod": lambda x, y: (f"{_d(x)} % nullif({_d(y)}, 0D)", "real"),
     "ceil": _keep("ceil"), "ceiling": _keep("ceil"), "floor": _keep("floor"), "trunc": lambda x: (f"CASE WHEN {x[0]} < 0 THEN CAST(ceil({x[0]}) AS {'BIGINT' if x[1] == 'int' else 'DOUBLE'}) ELSE CAST(floor({x[0]}) AS {'BIGINT' if x[1] == 'int' else 'DOUBLE'}) END", x[1]), "pi": _f("pi()", "real"),
     "sqrt": _domain("{0} >= 0", "sqrt({0})"), "power": _m("pow"), "pow": _m("pow"), "exp": _m("exp"), "ln": _domain("{0} > 0", "ln({0})"), "log10": _domain("{0} > 0", "log10({0})"), "log2": _domain("{0} > 0", "log2({0})"),
     "log": lambda a, b=None: (_domain("{0} > 0", "log10({0})")(a) if b is None else (f"CASE WHEN {_d(a)} > 0 AND {_d(a)} <> 1 AND {_d(b)} > 0 THEN ln({_d(b)}) / ln({_d(a)}) END", "real")),
@@ -192,7 +232,7 @@ FUNCTIONS: dict[str, Callable[..., Value]] = {
     "date": _formatted("yyyy-MM-dd"), "time": _formatted("HH:mm:ss"), "datetime": _formatted("yyyy-MM-dd HH:mm:ss"), "julianday": lambda *a: (f"unix_micros({moment(a)}) / 86400000000D + 2440587.5D", "real"), "unixepoch": lambda *a: (f"unix_seconds({moment(a)})", "int"), "strftime": strftime,
     "timediff": lambda a, b: python("timediff")((f"CAST({moment((a,))} AS STRING)", "text"), (f"CAST({moment((b,))} AS STRING)", "text")),
     **{n: python(n) for n in ("json", "json_pretty", "json_quote", "json_extract", "json_type", "json_array", "json_object", "json_remove", "json_set", "json_insert", "json_replace", "json_patch")}, **{n: python(n, "int") for n in ("json_valid", "json_error_position", "json_array_length")},
-    **{f"jsonb{n}": (lambda f: lambda *xs: (f"parse_json({f(*xs)[0]})", "any"))(python(f"json{n}")) for n in ("", "_array", "_object", "_remove", "_set", "_insert", "_replace", "_patch")}, "jsonb_extract": lambda x, p: (f"variant_get(parse_json({x[0]}), {p[0]})", "any"),
+    **{f"jsonb{n}": (lambda f: lambda *xs: (f"parse_json({f(*xs)[0]})", "any"))(python(f"json{n}")) for n in ("", "_array", "_object", "_remove", "_set", "_insert", "_replace", "_patch")}, "jsonb_extract": _jsonb_extract,
     "sqlite_version": _f(quote(nulls.VERSION), "text"), "sqlite_source_id": _f(quote(nulls.SOURCE_ID), "text"), "sqlite_compileoption_used": lambda x: (str(int(_literal(x).upper() in [o.split("=")[0] for o in nulls.COMPILE_OPTIONS])), "int"), "sqlite_log": _f("CAST(NULL AS STRING)", "text"),
     "sqlite_compileoption_get": lambda x: (quote(nulls.COMPILE_OPTIONS[int(x[0])]) if int(x[0]) < len(nulls.COMPILE_OPTIONS) else "CAST(NULL AS STRING)", "text"), "like": lambda p, x: (f"{fold(x[0])} LIKE {fold(p[0])}", "bool"),
 }
@@ -251,10 +291,38 @@ def call(name: str, kinds: str, *args: str | None) -> str | None:
         return jsons.dump([None if f is jsons._MISSING else f for f in found])
     if found[0] is jsons._MISSING:
         return None
-    return {"json_extract": jsons.as_value, "json_arrow_value": jsons.as_value, "json_arrow": jsons.dump, "json_type": jsons.kind_of, "json_array_length": lambda f: str(len(f)) if jsons.kind_of(f) == "array" else "0"}[name](found[0])
+    return {"json_extract": jsons.as_value, "json_part": jsons.dump, "json_arrow_value": jsons.as_value, "json_arrow": jsons.dump, "json_type": jsons.kind_of, "json_array_length": lambda f: str(len(f)) if jsons.kind_of(f) == "array" else "0"}[name](found[0])
+
+
+#: Functions that Catalyst inlines: reals in plain notation, and rounding of the exact binary value, half away from zero
+#: (the product's rounding error, found by splitting both factors in halves, decides apparent ties).
+SQL_FUNCTIONS = {
+    "ferrule_plain(s STRING) RETURNS STRING": r"""
+        CASE WHEN s RLIKE '[.]0+$' OR NOT contains(s, '.') THEN concat(regexp_replace(s, '[.]0+$', ''), '.0') ELSE regexp_replace(s, '0+$', '') END""",
+    "ferrule_text(x DOUBLE) RETURNS STRING": """
+        CASE WHEN x IS NULL THEN NULL
+             WHEN CAST(x AS STRING) = 'Infinity' THEN 'Inf' WHEN CAST(x AS STRING) = '-Infinity' THEN '-Inf'
+             WHEN NOT contains(CAST(x AS STRING), 'E') THEN CAST(x AS STRING)
+             WHEN abs(x) < 1E15D AND abs(x) > 1E-4D THEN ferrule_plain(CAST(try_cast(CAST(x AS STRING) AS DECIMAL(38, 18)) AS STRING))
+             WHEN abs(x) < 1E38D AND abs(x) >= 1E15D THEN ferrule_plain(CAST(try_cast(CAST(x AS STRING) AS DECIMAL(38, 0)) AS STRING))
+             WHEN abs(x) <= 1E-4D THEN ferrule_plain(CAST(try_cast(CAST(x AS STRING) AS DECIMAL(38, 36)) AS STRING))
+             ELSE CAST(x AS STRING) END""",
+    "ferrule_half(a DOUBLE) RETURNS DOUBLE": "a * 134217729D - (a * 134217729D - a)",
+    "ferrule_error(a DOUBLE, b DOUBLE) RETURNS DOUBLE": """
+        ((ferrule_half(a) * ferrule_half(b) - a * b) + ferrule_half(a) * (b - ferrule_half(b)) + (a - ferrule_half(a)) * ferrule_half(b))
+        + (a - ferrule_half(a)) * (b - ferrule_half(b))""",
+    "ferrule_up(a DOUBLE, scale DOUBLE) RETURNS DOUBLE": """
+        CASE WHEN a * scale >= 4503599627370496D THEN a
+             WHEN a * scale - floor(a * scale) > 0.5D OR (a * scale - floor(a * scale) = 0.5D AND ferrule_error(a, scale) >= 0)
+             THEN (floor(a * scale) + 1D) / scale ELSE floor(a * scale) / scale END""",
+    "ferrule_round(x DOUBLE, n INT) RETURNS DOUBLE": """
+        CASE WHEN n > 15 THEN x ELSE signum(x) * ferrule_up(abs(x), power(10D, greatest(n, 0))) END""",
+}
 
 
 def register(spark) -> None:
     from pyspark.sql import functions as F
 
     spark.udf.register("ferrule_call", F.udf(call, "string", useArrow=True))
+    for head, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

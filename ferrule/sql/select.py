@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from ferrule.functions.operators import glob_regex
 from ferrule.sql import functions as fn
@@ -37,6 +37,7 @@ class Scope:
     picked: str | None = None  # how to pick that row
     names: dict[str, str] = field(default_factory=dict)  # columns that have another name in Spark
     inside: int = 0
+    numbered: list[str] = field(default_factory=list)  # windows whose rows and peer groups are numbered in the source
 
     def type_of(self, column: str) -> str | None:
         return self.types.get(column.lower()) or (self.outer.type_of(column) if self.outer else None)
@@ -49,6 +50,57 @@ def kind(spark_type: str) -> str:
     return "real" if t in ("double", "float") or t.startswith("decimal") else {"string": "text", "boolean": "bool", "binary": "blob"}.get(t, "time" if t.startswith(("timestamp", "date")) else "any")
 
 
+@dataclass
+class Window:
+    """A window's parts. GROUPS frames and EXCLUDE count on numbers of rows and peer groups, which the query's source
+    gets as columns."""
+
+    base: str | None = None
+    partition: list[Expr] = field(default_factory=list)
+    order: list[Callable[[Scope], str]] = field(default_factory=list)
+    unit: str | None = None
+    low: str = "UNBOUNDED PRECEDING"
+    high: str = "CURRENT ROW"
+    exclude: str | None = None
+    keys: list[str] = field(default_factory=list)  # PARTITION BY and ORDER BY as text
+    terms: list[str] = field(default_factory=list)
+
+    def resolved(self, parser: Parser, s: Scope) -> Window:
+        """With the base window's parts, and keys and terms as text."""
+        own = parser.windows[self.base].resolved(parser, s) if self.base else Window()
+        if (self.order and own.terms) or (self.base and own.unit):
+            raise ValueError("cannot override ORDER BY or frame specification of window")
+        keys = own.keys + [k[0] for k in parser._inner(s, self.partition)]
+        return replace(self, base=None, keys=keys, terms=own.terms + [o(s) for o in self.order])
+
+    def text(self, s: Scope, turned: bool = False, numbered: bool = False) -> str:
+        """As text. turned: a frame up to UNBOUNDED FOLLOWING over the reversed order, for functions that don't depend on
+        it. numbered: the order by row numbers."""
+        terms, unit, low, high = self.terms, self.unit, self.low, self.high
+        if unit == "GROUPS" or (numbered and unit == "ROWS"):
+            d, n = self.numbers(s)
+            terms, unit = ([f"{d} ASC NULLS FIRST"], "RANGE") if unit == "GROUPS" else ([f"{n} ASC NULLS FIRST"], "ROWS")
+        if turned and unit and terms and high == "UNBOUNDED FOLLOWING" and low != "UNBOUNDED PRECEDING":
+            terms = [_opposite(t) for t in terms]
+            swap = {"PRECEDING": "FOLLOWING", "FOLLOWING": "PRECEDING"}
+            low, high = "UNBOUNDED PRECEDING", re.sub(r"\b(PRECEDING|FOLLOWING)$", lambda m: swap[m[0]], low)
+        parts = [f"PARTITION BY {', '.join(self.keys)}"] * bool(self.keys) + [f"ORDER BY {', '.join(terms)}"] * bool(terms)
+        return " ".join([*parts, f"{unit} BETWEEN {low} AND {high}"] if unit else parts)
+
+    def numbers(self, s: Scope) -> tuple[str, str]:
+        """The columns with the peer group's and the row's number."""
+        spec = " ".join([f"PARTITION BY {', '.join(self.keys)}"] * bool(self.keys) + [f"ORDER BY {', '.join(self.terms or ['1'])}"])
+        if spec not in s.numbered:
+            s.numbered.append(spec)
+        k = s.numbered.index(spec)
+        return f"`_d{k}`", f"`_n{k}`"
+
+
+def _opposite(term: str) -> str:
+    x, way, _, nulls = term.rsplit(" ", 3)
+    return f"{x} {'ASC' if way == 'DESC' else 'DESC'} NULLS {'LAST' if nulls == 'FIRST' else 'FIRST'}"
+
+
 class Parser:
     """lookup: the Spark types of a table by name, as [(column, type)]."""
 
@@ -256,6 +308,10 @@ class Parser:
                 far_left, far_right = f"CASE WHEN abs({y[0]}) >= 64 THEN 0 ELSE {left} END", f"CASE WHEN abs({y[0]}) >= 64 THEN CASE WHEN {x[0]} < 0 THEN -1 ELSE 0 END ELSE {right} END"
                 a_, b_ = (far_left, far_right) if op == "<<" else (far_right, far_left)
                 return f"(CASE WHEN {y[0]} < 0 THEN {b_} ELSE {a_} END)", "int"
+            if both and op in ("+", "-", "*") and all(re.fullmatch(r"-?[0-9]+", v[0]) for v in (x, y)):
+                exact = {"+": int.__add__, "-": int.__sub__, "*": int.__mul__}[op](int(x[0]), int(y[0]))
+                if not -(2**63) <= exact < 2**63:  # constants that overflow become a real
+                    return f"{float(exact)!r}D", "real"
             return f"({x[0]} {op} {y[0]})", "int" if both or op in "&|" else "real"
 
         return render
@@ -285,7 +341,7 @@ class Parser:
         if t.kind == "number":
             if t.text[:2].lower() == "0x":
                 return lambda s: (str(int(t.text, 16)), "int")
-            whole = t.text.isdigit()
+            whole = t.text.isdigit() and int(t.text) < 2**63
             return lambda s: (t.text if whole else f"{t.text}D", "int" if whole else "real")
         if t.kind == "string":
             return lambda s: (fn.quote(t.text), "text")
@@ -354,7 +410,7 @@ class Parser:
         self.expect("END")
 
         def render(s: Scope) -> Value:
-            tests = [self._compare("=", base, c)(s)[0] if base else fn.condition(c(s)) for c, _ in pairs]
+            tests = [self._compare("=", base, c)(s)[0] if base else fn.truth(c(s)) for c, _ in pairs]
             values = [v(s) for _, v in pairs] + ([last(s)] if last else [])
             kinds = {v[1] for v in values} - {"any"}
             body = " ".join(f"WHEN {t} THEN {v[0]}" for t, v in zip(tests, values))
@@ -466,55 +522,92 @@ class Parser:
 
         return render
 
-    def _over(self, f: str, args: list[Expr], star: bool, where: Expr | None, over: str | Callable) -> Expr:
+    def _over(self, f: str, args: list[Expr], star: bool, where: Expr | None, over: str | Window) -> Expr:
         if f not in AGGREGATES | WINDOW:
             raise ValueError(f"{f}() may not be used as a window function")
 
         def render(s: Scope) -> Value:
             xs = self._inner(s, args)
-            spec = f"({self.windows[over.lower()](s)})" if isinstance(over, str) else f"({over(s)})"
+            w = (self.windows[over.lower()] if isinstance(over, str) else over).resolved(self, s)
             if where:
                 test = fn.condition(self._inner(s, [where])[0])
                 xs = [(f"CASE WHEN {test} THEN {x[0]} END", x[1]) for x in xs] or [(f"CASE WHEN {test} THEN 1 END", "int")]
+            if w.exclude:
+                return self._excluding(f, xs, w, s)
+            spec = f"({w.text(s, turned=f in ('count', 'sum', 'avg', 'total', 'min', 'max'))})"
             inner = ", ".join(x[0] for x in xs) or ("*" if star or f == "count" else "")
             if f == "total":
                 return f"coalesce(sum({fn._d(xs[0])}) OVER {spec}, 0D)", "real"
             if f in ("group_concat", "string_agg"):
-                return f"array_join(collect_list({fn.text(xs[0])}) OVER {spec}, {xs[1][0] if len(xs) > 1 else chr(39) + ',' + chr(39)})", "text"
-            if f == "json_group_array":
-                return f"concat('[', array_join(collect_list(coalesce(CAST({xs[0][0]} AS STRING), 'null')) OVER {spec}, ','), ']')", "json"
+                parts = f"collect_list({fn.text(xs[0])}) OVER {spec}"
+                return f"CASE WHEN size({parts}) > 0 THEN array_join({parts}, {xs[1][0] if len(xs) > 1 else chr(39) + ',' + chr(39)}) END", "text"
+            if f in ("json_group_array", "jsonb_group_array"):
+                body = f"concat('[', array_join(collect_list({fn.quoted(xs[0])}) OVER {spec}, ','), ']')"
+                return (f"parse_json({body})", "any") if f.startswith("jsonb") else (body, "json")
+            if f in ("json_group_object", "jsonb_group_object"):
+                body = f"concat('{{', array_join(collect_list(concat({fn.quoted((fn.text(xs[0]), 'text'))}, ':', {fn.quoted(xs[1])})) OVER {spec}, ','), '}}')"
+                return (f"parse_json({body})", "any") if f.startswith("jsonb") else (body, "json")
             kinds = {"count": "int", "avg": "real", "percent_rank": "real", "cume_dist": "real"}
             return f"{f}({inner}) OVER {spec}", kinds.get(f) or ("int" if f in ("row_number", "rank", "dense_rank", "ntile") else xs[0][1])
 
         return render
 
-    windows: dict[str, Callable] = {}
-
-    def window(self) -> Callable[[Scope], str]:
-        """( [base] [PARTITION BY] [ORDER BY] [frame] ) as text; the opening bracket is next."""
+    def _excluding(self, f: str, xs: list[Value], w: Window, s: Scope) -> Value:
+        """A function over a frame with EXCLUDE: the frame's values with row and group numbers, filtered."""
+        d, n = w.numbers(s)
+        x = xs[0] if xs else ("1", "int")
+        keep = {"CURRENT ROW": f"c.n <> {n}", "GROUP": f"c.d <> {d}", "TIES": f"(c.d <> {d} OR c.n = {n})"}[w.exclude]
+        cells = f"filter(collect_list(named_struct('n', {n}, 'd', {d}, 'v', {x[0]})) OVER ({w.text(s, numbered=True)}), c -> {keep})"
+        values = f"transform(array_sort({cells}), c -> c.v)"
+        known = f"filter({values}, v -> v IS NOT NULL)"
+        zero = "CAST(0 AS BIGINT)" if x[1] == "int" else "0D"
+        total = f"aggregate({known}, {zero}, (a, v) -> a + {'v' if x[1] == 'int' else 'CAST(v AS DOUBLE)'})"
+        if f == "count":
+            return f"CAST(size({known}) AS BIGINT)", "int"
+        if f == "sum":
+            return f"CASE WHEN size({known}) > 0 THEN {total} END", x[1]
+        if f in ("avg", "total"):
+            whole = f"CAST({total} AS DOUBLE)"
+            return (whole if f == "total" else f"CASE WHEN size({known}) > 0 THEN {whole} / size({known}) END"), "real"
+        if f in ("min", "max"):
+            return f"array_{f}({known})", x[1]
+        if f in ("first_value", "last_value", "nth_value"):
+            at = {"first_value": "0", "last_value": f"size({values}) - 1", "nth_value": f"CAST({xs[1][0]} AS INT) - 1" if len(xs) > 1 else "0"}[f]
+            return f"get({values}, {at})", x[1]
+        if f in ("group_concat", "string_agg"):
+            text = f"transform({known}, v -> {fn.text(('v', x[1]))})"
+            return f"CASE WHEN size({known}) > 0 THEN array_join({text}, {xs[1][0] if len(xs) > 1 else chr(39) + ',' + chr(39)}) END", "text"
+        raise NotImplementedError(f"{f}() over a frame with EXCLUDE")
+
+    windows: dict[str, Window] = {}
+
+    def window(self) -> Window:
+        """( [base] [PARTITION BY] [ORDER BY] [frame] ); the opening bracket is next."""
         self.expect("(")
-        base = self.identifier().lower() if self.now.kind in ("name", "quoted") and self.now.word not in ("PARTITION", "ORDER", "ROWS", "RANGE", "GROUPS") else None
-        partition = self.listed(self.expr) if self.accept("PARTITION", "BY") else []
-        order = self.listed(self.order_term) if self.accept("ORDER", "BY") else []
-        frame = ""
-        if self.now.word == "GROUPS":
-            raise NotImplementedError("GROUPS frames: use ferrule.operators.windows.over")
-        if self.now.word in ("ROWS", "RANGE"):
-            begin = self.now.at
-            while self.now.text != ")" and self.now.word != "EXCLUDE":
-                self.take()
-            frame = self.sql[begin : self.now.at].strip()
+        w = Window()
+        if self.now.kind in ("name", "quoted") and self.now.word not in ("PARTITION", "ORDER", "ROWS", "RANGE", "GROUPS"):
+            w.base = self.identifier().lower()
+        w.partition = self.listed(self.expr) if self.accept("PARTITION", "BY") else []
+        w.order = self.listed(self.order_term) if self.accept("ORDER", "BY") else []
+        if self.now.word in ("ROWS", "RANGE", "GROUPS"):
+            w.unit = self.take().word
+            if self.accept("BETWEEN"):
+                w.low = self._bound()
+                self.expect("AND")
+                w.high = self._bound()
+            else:
+                w.low, w.high = self._bound(), "CURRENT ROW"
             if self.accept("EXCLUDE") and not self.accept("NO", "OTHERS"):
-                raise NotImplementedError("EXCLUDE: use ferrule.operators.windows.over")
+                w.exclude = next(e for e in ("CURRENT ROW", "GROUP", "TIES") if self.accept(*e.split()))
         self.expect(")")
+        return w
 
-        def render(s: Scope) -> str:
-            parts = [self.windows[base](s)] if base else []
-            keys = self._inner(s, partition)
-            parts += [f"PARTITION BY {', '.join(k[0] for k in keys)}"] * bool(keys) + [f"ORDER BY {', '.join(o(s) for o in order)}"] * bool(order) + [frame]
-            return " ".join(p for p in parts if p)
-
-        return render
+    def _bound(self) -> str:
+        for words in ("UNBOUNDED PRECEDING", "UNBOUNDED FOLLOWING", "CURRENT ROW"):
+            if self.accept(*words.split()):
+                return words
+        size = self.bits()(Scope())[0]
+        return f"{size} {self.take().word}"
 
     def order_term(self) -> Callable[[Scope], str]:
         x = self.expr()
@@ -526,9 +619,9 @@ class Parser:
 
     def query(self) -> Callable[[Scope | None], tuple[str, list[tuple[str, str]]]]:
         """[WITH] compound [ORDER BY] [LIMIT]: a function of the outer scope that gives text and output columns."""
-        ctes = []
+        ctes, recursive = [], False
         if self.accept("WITH"):
-            self.accept("RECURSIVE")
+            recursive = self.accept("RECURSIVE")
             for cte in iter(lambda: self._cte(), None):
                 ctes.append(cte)
                 if not self.accept(","):
@@ -543,6 +636,9 @@ class Parser:
         def render(outer: Scope | None = None) -> tuple[str, list[tuple[str, str]]]:
             before, heads = dict(self.ctes), []
             for c, columns, body in ctes:
+                if recursive:  # the first SELECT tells the columns that the others may speak of
+                    _, out, _ = body.first(outer, [])
+                    self.ctes[c.lower()] = [(n, k) for n, (_, k) in zip(columns, out)] if columns else out
                 text, out = body(outer)
                 out = [(n, k) for n, (_, k) in zip(columns, out)] if columns else out
                 self.ctes[c.lower()] = out
@@ -558,8 +654,9 @@ class Parser:
                 text = f"SELECT * FROM ({text}) ORDER BY {', '.join(o(s) for o in order)}"
             text += limit
             self.ctes = before
-            return (f"WITH {', '.join(heads)} " if heads else "") + text, out
+            return (f"WITH {'RECURSIVE ' * recursive}{', '.join(heads)} " if heads else "") + text, out
 
+        render.first = parts[0][1]  # type: ignore[attr-defined]
         return render
 
     def _cte(self):
@@ -608,6 +705,7 @@ class Parser:
         items = self.listed(self._item)
         found = self.aggregates
         sources = self._from() if self.accept("FROM") else None
+        single = sources is not None and sources.single
         where = self.expr() if self.accept("WHERE") else None
         group = self.listed(self.expr) if self.accept("GROUP", "BY") else []
         having = self.expr() if self.accept("HAVING") else None
@@ -661,6 +759,11 @@ class Parser:
                     terms.append(o(s))
                 tail += f" ORDER BY {', '.join(terms)}"
             self.windows = saved
+            if scope.numbered:
+                if grouped or not single or any(c == "*" for c in cells):
+                    raise NotImplementedError("GROUPS frames and EXCLUDE need one source, named columns and no grouping: use a derived table")
+                numbers = ", ".join(f"dense_rank() OVER ({w}) AS `_d{k}`, row_number() OVER ({w}) AS `_n{k}`" for k, w in enumerate(scope.numbered))
+                text, condition = f"(SELECT *, {numbers} FROM {text}{condition}) AS {text.rsplit(' AS ', 1)[1]}", ""
             return f"SELECT {distinct}{', '.join(cells)}{f' FROM {text}' if text else ''}{condition}{tail}", out, scope
 
         return render
@@ -715,6 +818,7 @@ class Parser:
                 text += f" {how} JOIN {right}" + (f" USING ({', '.join(name(c) for c in on)})" if isinstance(on, list) else f" ON {fn.condition(on(inner))}" if on else "")
             return text, types
 
+        render.single = len(sources) == 1  # type: ignore[attr-defined]
         return render
 
     def _source(self):
