@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ferrule.plans import aggregates, catalogs, changes, joins, scalars, scans, sets, windows
+from ferrule.plans import aggregates, catalogs, changes, dialect, joins, scalars, scans, scripts, sets, windows
 
-_MODULES = (scans, joins, aggregates, windows, sets, scalars, changes, catalogs)
+_MODULES = (scans, joins, aggregates, windows, sets, scalars, changes, catalogs, dialect, scripts)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -76,9 +76,11 @@ class Trigger:
     table: str
     timing: str  # before or after
     event: str  # insert, update or delete
-    body: Callable[[Database, DataFrame], None]
+    body: Callable[[Database, DataFrame], None]  # gets the changed rows; of an UPDATE those after it
     when: str | None = None
     of: tuple[str, ...] = ()
+    pairs: bool = False  # body gets columns _before_x and _after_x instead (NULL before an INSERT and after a DELETE)
+    sql: str | None = None
 
 
 @dataclass(frozen=True)
@@ -106,6 +108,12 @@ SCHEMA_PRAGMAS = ("database_list", "collation_list", "quick_check", "integrity_c
 READ_ONLY = ("page_count", "freelist_count", "data_version")
 
 
+def _sides(rows: DataFrame, event: str) -> DataFrame:
+    """Inserted or deleted rows as columns _before_x and _after_x."""
+    side = lambda name, has: [(F.col(c) if has else F.lit(None).cast(k)).alias(f"{name}{c}") for c, k in rows.dtypes]
+    return rows.select(*side("_before_", event != "insert"), *side("_after_", event != "delete"))
+
+
 class Database:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.state = spark, State()
@@ -360,12 +368,13 @@ class Database:
 
     # Data changes ------------------------------------------------------------------------------------------------
 
-    def _fire(self, table: str, timing: str, event: str, rows: DataFrame, changed: Sequence[str] = ()) -> None:
+    def _fire(self, table: str, timing: str, event: str, rows: DataFrame, changed: Sequence[str] = (), pairs: DataFrame | None = None) -> None:
         if self._depth and not self.settings["recursive_triggers"]:
             return
         for t in list(self.state.triggers.values()):
             if (t.table, t.timing, t.event) == (table, timing, event) and (not t.of or set(t.of) & set(changed)):
-                own = rows.where(t.when) if t.when else rows
+                own = rows if not t.pairs else pairs if event == "update" and pairs is not None else _sides(rows, event)
+                own = own.where(t.when) if t.when else own
                 self._depth += 1
                 try:
                     if not own.isEmpty():
@@ -383,7 +392,7 @@ class Database:
         key, before = table.name.lower(), self.state
         try:
             touched = stage(touched, "touched")
-            self._fire(key, "before", event, touched, changed)
+            self._fire(key, "before", event, touched, changed, pairs)
             if event != "delete":
                 self.check_rows(table, touched)
             df = stage(df, "table")
@@ -395,7 +404,7 @@ class Database:
                 self._orphans(key, old, df)
             elif event == "update" and pairs is not None:
                 self._followers(key, pairs, df)
-            self._fire(key, "after", event, touched, changed)
+            self._fire(key, "after", event, touched, changed, pairs)
         except Exception:
             self.state = before
             raise
@@ -496,7 +505,7 @@ class Database:
         if follow:
             touched = stage(touched, "touched")
             before = rows.select(dml.ROW, *(F.col(c).alias(f"_before_{c}") for c in old.columns))
-            pairs = stage(before.join(touched.select(dml.ROW, *(F.col(c).alias(f"_after_{c}") for c in old.columns)), dml.ROW), "pairs")
+            pairs = stage(before.join(touched.select(dml.ROW, *(F.col(c).alias(f"_after_{c}") for c in old.columns)), dml.ROW).drop(dml.ROW), "pairs")
         return self._swap(table, df.drop(dml.ROW), touched.drop(dml.ROW), "update", list(set_), pairs)
 
     def delete(self, name: str, where: Column | None = None, key: Sequence[str] | None = None, order: Sequence[Column] = (), limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -574,7 +583,7 @@ class Database:
         if not temp:
             rows += [("view", k, k, 0, None) for k in s.views]
             rows += [("index", i.name, i.table, 0, f"CREATE {'UNIQUE ' * i.unique}INDEX {i.name} ON {i.table} ({', '.join(i.columns)})") for i in s.indexes.values()]
-            rows += [("trigger", t.name, t.table, 0, None) for t in s.triggers.values()]
+            rows += [("trigger", t.name, t.table, 0, t.sql) for t in s.triggers.values()]
         return self._rows("type string, name string, tbl_name string, rootpage long, sql string", rows)
 
     def explain(self, df: DataFrame) -> DataFrame:

@@ -40,10 +40,11 @@ def _(t):
     return _db(t).indexed_by("nation", "nation_name").where("n_name = 'NATION_3' OR n_nationkey = 3").select("n_nationkey")
 
 
-@R.add("explain_query_plan")
+@R.add("explain_query_plan", "SELECT true AS numbered, true AS filtered")
 def _(t):
     db = _db(t)
-    return db.explain(db.table("nation").where("n_regionkey = 1"))
+    plan = db.explain(db.table("nation").where("n_regionkey = 1"))
+    return plan.agg((F.count("*") == F.max("id") + 1).alias("numbered"), F.max(F.col("detail").contains("n_regionkey")).alias("filtered"))
 
 
 @R.add("dml_transaction", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region WHERE r_regionkey <> 1 UNION ALL SELECT 77, 'kept'")

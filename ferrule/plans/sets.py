@@ -12,12 +12,11 @@ R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 
 
-@R.add("order_nulls", "SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END ASC NULLS FIRST, c_custkey) AS a, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS LAST, c_custkey DESC NULLS LAST) AS d FROM customer WHERE c_custkey <= 300")
+@R.add("order_nulls", "SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END ASC NULLS FIRST, c_custkey) AS a, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS LAST, c_custkey DESC NULLS LAST) AS d FROM customer")
 def _(t):
-    from pyspark.sql import Window
-
     x, k = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")), F.col("c_custkey")
-    return t("customer").where("c_custkey <= 300").select("c_custkey", F.row_number().over(Window.orderBy(rel.order_key(x), k)).alias("a"), F.row_number().over(Window.orderBy(rel.order_key(x, True), rel.order_key(k, True))).alias("d"))
+    up = rel.with_rowid(t("customer").select("c_custkey", "c_acctbal"), [rel.order_key(x), k], "a")
+    return rel.with_rowid(up, [rel.order_key(x, True), rel.order_key(k, True)], "d").drop("c_acctbal")
 
 
 @R.add("order_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")

@@ -39,6 +39,11 @@ class Scope:
     inside: int = 0
     numbered: list[str] = field(default_factory=list)  # windows whose rows and peer groups are numbered in the source
 
+    def name_of(self, column: str) -> str | None:
+        if column.lower() in self.types or not self.outer:
+            return self.names.get(column.lower())
+        return self.outer.name_of(column)
+
     def type_of(self, column: str) -> str | None:
         return self.types.get(column.lower()) or (self.outer.type_of(column) if self.outer else None)
 
@@ -308,8 +313,8 @@ class Parser:
                 far_left, far_right = f"CASE WHEN abs({y[0]}) >= 64 THEN 0 ELSE {left} END", f"CASE WHEN abs({y[0]}) >= 64 THEN CASE WHEN {x[0]} < 0 THEN -1 ELSE 0 END ELSE {right} END"
                 a_, b_ = (far_left, far_right) if op == "<<" else (far_right, far_left)
                 return f"(CASE WHEN {y[0]} < 0 THEN {b_} ELSE {a_} END)", "int"
-            if both and op in ("+", "-", "*") and all(re.fullmatch(r"-?[0-9]+", v[0]) for v in (x, y)):
-                exact = {"+": int.__add__, "-": int.__sub__, "*": int.__mul__}[op](int(x[0]), int(y[0]))
+            if both and op in ("+", "-", "*") and all(re.fullmatch(r"-?[0-9]+", v[0].strip("()")) for v in (x, y)):
+                exact = {"+": int.__add__, "-": int.__sub__, "*": int.__mul__}[op](*(int(v[0].strip("()")) for v in (x, y)))
                 if not -(2**63) <= exact < 2**63:  # constants that overflow become a real
                     return f"{float(exact)!r}D", "real"
             return f"({x[0]} {op} {y[0]})", "int" if both or op in "&|" else "real"
@@ -431,7 +436,7 @@ class Parser:
                 return f"({alias(s)[0]})", alias(s)[1]
             if found is None:
                 raise KeyError(f"no such column: {'.'.join(parts)}")
-            text = s.names.get(key) or ".".join(name(p) for p in parts)
+            text = s.name_of(key) or ".".join(name(p) for p in parts)
             if s.grouped and not s.inside and key in s.types and text.lower() not in s.keys:
                 text = s.picked.format(text) if s.picked else f"any_value({text})"
             return text, found
@@ -489,13 +494,13 @@ class Parser:
     def _aggregate(self, f: str, args: list[Expr], star: bool, distinct: bool, order: list, where: Expr | None) -> Expr:
         def render(s: Scope) -> Value:
             xs = self._inner(s, args)
-            by = ", ".join(o(s) for o in order) if order else None
+            by = ", ".join(self._inner(s, order)) if order else None
             tail = f" FILTER (WHERE {fn.condition(self._inner(s, [where])[0])})" if where else ""
             d = "DISTINCT " * distinct
             if f == "count":
                 return f"count({d}{xs[0][0] if xs else '*'}){tail}", "int"
             x = xs[0]
-            number = fn.cast(x, "REAL") if x[1] == "text" else x
+            number = fn.cast(x, "REAL") if x[1] == "text" else (f"CAST({x[0]} AS INT)", "int") if x[1] == "bool" else x
             if f in ("sum", "avg"):
                 return f"{f}({d}{number[0]}){tail}", "int" if f == "sum" and x[1] == "int" else "real"
             if f == "total":
@@ -513,11 +518,12 @@ class Parser:
                 return f"{f}({xs[1][0].rstrip('D')}) WITHIN GROUP (ORDER BY {x[0]}){tail}", "real" if f.endswith("cont") else x[1]
             if f == "decimal_sum":
                 return f"regexp_replace(CAST(sum(try_cast({x[0]} AS DECIMAL(38, 10))){tail} AS STRING), '\\\\.?0+$', '')", "text"
-            element = lambda v: fn.FUNCTIONS["json_quote"](v)[0]
-            if f.endswith("array"):
-                body = f"concat('[', array_join(transform(array_sort(collect_list(struct({by + ' AS k, ' if by else ''}{element(x)} AS v)){tail}), s -> s.v), ','), ']')"
+            cell = fn.quoted(x) if f.endswith("array") else f"concat({fn.quoted((fn.text(x), 'text'))}, ':', {fn.quoted(xs[1])})"
+            if by:
+                cells = f"coalesce(listagg({cell}, ',') WITHIN GROUP (ORDER BY {by}){tail}, '')"
             else:
-                body = f"concat('{{', array_join(array_sort(collect_list(concat({element((fn.text(x), 'text'))}, ':', {element(xs[1])})){tail}), ','), '}}')"
+                cells = f"array_join(array_sort(collect_list({cell}){tail}), ',')"
+            body = f"concat('[', {cells}, ']')" if f.endswith("array") else f"concat('{{', {cells}, '}}')"
             return (f"parse_json({body})", "any") if f.startswith("jsonb") else (body, "json")
 
         return render
@@ -693,6 +699,8 @@ class Parser:
             def values(outer, order):
                 cells = [[x(outer or Scope()) for x in r] for r in rows]
                 out = [(f"column{k + 1}", next((r[k][1] for r in cells if r[k][1] != "any"), "any")) for k in range(len(rows[0]))]
+                if outer:  # a row that speaks of an outer query is no constant
+                    return " UNION ALL ".join("SELECT " + ", ".join(f"{v[0]} AS {n}" for v, (n, _) in zip(r, out)) for r in cells), out, None
                 text = ", ".join(f"({', '.join(v[0] for v in r)})" for r in cells)
                 return f"SELECT * FROM VALUES {text} AS v({', '.join(n for n, _ in out)})", out, None
 

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.database import ColumnDef, Database, ForeignKey, Index, Table
+from ferrule.database import ColumnDef, ConstraintError, Database, ForeignKey, Index, Table, Trigger
+from ferrule.operators import dml
 from ferrule.sql import functions as fn
+from ferrule.sql.lexer import Token
 from ferrule.sql.select import Parser, Scope, kind, name
 
 
@@ -59,6 +61,8 @@ class Statements(Parser):
 
     def statement(self) -> DataFrame | None:
         w = self.now.word
+        if w == "WITH" and self._after_with() in ("INSERT", "REPLACE", "UPDATE", "DELETE"):
+            return self._with()
         if w in ("SELECT", "VALUES") or w == "WITH":
             return self._frame(self.query())
         if self.accept("EXPLAIN", "QUERY", "PLAN"):
@@ -69,6 +73,30 @@ class Statements(Parser):
         self.take()
         return handler()
 
+    def _after_with(self) -> str:
+        """The word that begins the statement after its common table expressions."""
+        depth, at = 0, self.i
+        for t in self.tokens[at:]:
+            depth += {"(": 1, ")": -1}.get(t.text, 0) if t.kind == "op" else 0
+            if depth == 0 and t.word in ("SELECT", "VALUES", "INSERT", "REPLACE", "UPDATE", "DELETE"):
+                return t.word
+        return ""
+
+    def _with(self) -> DataFrame | None:
+        """WITH before a change: the expressions are views for as long as the statement runs."""
+        self.expect("WITH")
+        self.accept("RECURSIVE")
+        before = self.db.state.views
+        try:
+            for c, columns, body in iter(self._cte, None):
+                df = self._frame(body)
+                self.db._set(views={**self.db.state.views, c.lower(): df.toDF(*columns) if columns else df})
+                if not self.accept(","):
+                    break
+            return self.statement()
+        finally:
+            self.db._set(views=before)
+
     # Data changes ------------------------------------------------------------------------------------------------
 
     def _scope(self, table: str, alias: str | None = None) -> Scope:
@@ -280,8 +308,48 @@ class Statements(Parser):
                     self.db.create_table_as(n, df, temp)
             else:
                 self.db.create_table(self._table(n, temp), quiet)
+        elif what == "TRIGGER":
+            self._trigger(n, quiet)
         else:
-            raise NotImplementedError(f"CREATE {what}: triggers are Python functions, see Database.create_trigger")
+            raise SyntaxError(f"near {what!r}: syntax error")
+
+    def _trigger(self, n: str, quiet: bool) -> None:
+        """[BEFORE | AFTER] event [OF columns] ON table [FOR EACH ROW] [WHEN test] BEGIN statements END.
+
+        The body runs for all changed rows at once: INSERT takes a row for each of them, UPDATE and DELETE the rows that
+        meet any of them, and SELECT RAISE(ABORT, text) [WHERE test] stops the statement if it holds for one.
+        """
+        begin = self.now.at
+        timing = "before" if self.accept("BEFORE") else (self.accept("AFTER"), "after")[1]
+        event = self.take().word.lower()
+        of = tuple(self.listed(self.identifier)) if self.accept("OF") else ()
+        self.expect("ON")
+        table = self._name()
+        self.accept("FOR", "EACH", "ROW")
+        when = self.expr() if self.accept("WHEN") else None
+        self.expect("BEGIN")
+        bodies, start, depth = [], self.i, 0
+        while not (self.now.word == "END" and depth == 0):
+            if self.now.kind == "end":
+                raise SyntaxError("a trigger's body needs END")
+            depth += {"CASE": 1, "END": -1}.get(self.now.word, 0)
+            if self.take().text == ";" and depth == 0:
+                bodies.append(self.tokens[start : self.i - 1])
+                start = self.i
+        self.expect("END")
+        scope = Scope(names={})
+        for side, prefix in (("old", "_before_"), ("new", "_after_")):
+            for c, k in self.db.table(table).dtypes:
+                scope.types[f"{side}.{c.lower()}"], scope.names[f"{side}.{c.lower()}"] = kind(k), name(f"{prefix}{c}")
+        test = fn.condition(when(scope)) if when else None
+        text, columns = self.sql, self.db.table(table).dtypes
+
+        def body(db: Database, rows: DataFrame) -> None:
+            for tokens in bodies:
+                TriggerBody(db, text, tokens, rows, columns).run()
+
+        if not (quiet and n.lower() in self.db.state.triggers):
+            self.db.create_trigger(Trigger(n, table, timing, event, body, test, of, pairs=True, sql=f"CREATE TRIGGER {n} {text[begin : self.tokens[self.i - 1].at + 3]}"))
 
     def _table(self, n: str, temp: bool) -> Table:
         """( column definitions and table constraints ) options."""
@@ -468,3 +536,69 @@ class Statements(Parser):
         self.db.analyze()
 
     _reindex = _vacuum = _analyze
+
+
+class TriggerBody(Statements):
+    """One statement of a trigger's body over the changed rows, which it names NEW and OLD."""
+
+    def __init__(self, db: Database, sql: str, tokens: list[Token], rows: DataFrame, columns: list[tuple[str, str]]) -> None:
+        super().__init__(db, "")
+        self.sql, self.tokens, self.rows, self.columns = sql, [*tokens, Token("end", "", len(sql))], rows, columns
+        self.view = f"_rows_{uuid.uuid4().hex[:8]}"
+        rows.createOrReplaceTempView(self.view)
+
+    def _sides(self) -> dict[str, tuple[str, str]]:
+        """NEW's and OLD's columns: their type and their column in the view."""
+        return {f"{side}.{c.lower()}": (kind(k), f"{self.view}.{name(prefix + c)}") for side, prefix in (("old", "_before_"), ("new", "_after_")) for c, k in self.columns}
+
+    def _scope(self, table: str, alias: str | None = None) -> Scope:
+        scope = super()._scope(table, alias)
+        for key, (k, text) in self._sides().items():
+            scope.types[key], scope.names[key] = k, text.split(".", 1)[1]
+        return scope
+
+    def _outer(self) -> Scope:
+        sides = self._sides()
+        return Scope({k: v[0] for k, v in sides.items()}, names={k: v[1] for k, v in sides.items()})
+
+    def _frame(self, query) -> DataFrame:
+        """A query for each changed row: VALUES and SELECT without aggregates over them become one join."""
+        self.db.register()
+        scope = self._outer()
+        self.outer_names = scope.names
+        text, out = query(scope)
+        columns = ", ".join(name(f"_q{k}") for k in range(len(out)))
+        return self.db.spark.sql(f"SELECT {columns} FROM {self.view}, LATERAL ({text}) AS _q({columns})")
+
+    def run(self) -> None:
+        if self.accept("SELECT", "RAISE", "("):
+            action = self.take().word
+            message = self.take().text if self.accept(",") else ""
+            self.expect(")")
+            test = fn.condition(self.expr()(self._outer())) if self.accept("WHERE") else "true"
+            if action != "IGNORE" and not self.db.spark.sql(f"SELECT 1 FROM {self.view} WHERE {test}").isEmpty():
+                raise ConstraintError(message)
+            return
+        depth, self.db._depth = self.db._depth, self.db._depth
+        try:
+            self.statement()
+        finally:
+            self.db._depth = depth
+
+    def _update(self) -> None:
+        self._policy()
+        table = self._name()
+        self.expect("SET")
+        scope = self._scope(table)
+        changes = self._assignments(scope)
+        on = self._column(self.expr(), scope) if self.accept("WHERE") else F.lit(True)
+        self.db.update(table, changes, source=self.rows, on=on)
+
+    def _delete(self) -> None:
+        self.expect("FROM")
+        table = self._name()
+        on = self._column(self.expr(), self._scope(table)) if self.accept("WHERE") else F.lit(True)
+        old = dml.ordered(self.db.table(table), dml.ROW)
+        met = old.join(self.rows, on, "left_semi")
+        left = old.join(met.select(dml.ROW), dml.ROW, "left_anti")
+        self.db._swap(self.db.state.tables[table.lower()], left.drop(dml.ROW), met.drop(dml.ROW), "delete")
