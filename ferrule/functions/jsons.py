@@ -1,7 +1,9 @@
 """JSON functions of the dialect. JSON is text; JSONB is Spark's VARIANT.
 
-Reads of one constant path, array lengths and the building of arrays and objects are built-in expressions. What has no
-built-in (JSON5, error positions, mutation, several paths) runs in Arrow-batched functions over a small document model:
+Reads of one constant path, types, validity, array lengths and the building of arrays and objects are built-in
+expressions: the text is parsed into a VARIANT, and only rows that need more (JSON5, duplicate keys, numbers whose text
+counts, containers, whose keys a VARIANT sorts) go to Python; the others send it a NULL. Mutation, error positions and
+several paths run in Arrow-batched functions over a small document model:
 objects are lists of pairs, so duplicate keys and their order survive; numbers keep their text.
 """
 
@@ -41,8 +43,24 @@ _NAME = re.compile(r"[A-Za-z_$\u0080-
 _ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", '"': '"', "\\": "\\", "/": "/", "'": "'", "v": "\v", "0": "\0", "\n": ""}
 
 
+def _refuse(word: str) -> None:
+    raise ValueError(word)
+
+
+#: Strict JSON by the standard library's scanner, into the document model.
+_DECODER = _json.JSONDecoder(object_pairs_hook=Obj, parse_int=Number, parse_float=Number, parse_constant=_refuse)
+
+
 def parse(text: str, strict: bool = False) -> Any:
     """The document model of a text; JSON5 is understood unless strict."""
+    try:
+        return _DECODER.decode(text)
+    except (ValueError, RecursionError):
+        return _parse(text, strict)
+
+
+def _parse(text: str, strict: bool) -> Any:
+    """What is no strict JSON: JSON5, or the place of the error."""
     at = 0
 
     def space() -> None:
@@ -332,6 +350,9 @@ def json_valid(x: Column, flags: int = 1) -> Column:
             pass
         return 0
 
+    if flags & 3:
+        sure = F.try_parse_json(x).isNotNull()
+        return F.when(sure, 1).otherwise(_rows("int", one, F.when(~sure, x)))
     return _rows("int", one, x)
 
 
@@ -365,6 +386,41 @@ def _simple(path: str) -> bool:
     return bool(re.fullmatch(r"\$(\.[A-Za-z_]\w*|\[[0-9]+\])+", path))
 
 
+def _variant(x: Column, path: str) -> tuple[Column, Column, Column]:
+    """(whether x parses, the part at a simple path, its type's name) by the JVM."""
+    whole = F.try_parse_json(x)
+    part = whole if path == "$" else F.try_variant_get(whole, path, "variant")
+    return whole.isNotNull(), part, F.schema_of_variant(part)
+
+
+def _plain(path: str) -> str | None:
+    """A path without quotes where its labels need none."""
+    bare = re.sub(r'\."([A-Za-z_]\w*)"', r".\1", path)
+    return bare if bare == "$" or _simple(bare) else None
+
+
+def _read(x: Column, path: str, simple: dict[str, Any], python) -> Column:
+    """A part's value: by simple (type name: function of the part) in the JVM, for other types and texts by python."""
+    bare = _plain(path)
+    if bare is None:
+        return _rows("string", python, x)
+    parses, part, kind = _variant(x, bare)
+    done = parses & (part.isNull() | kind.isin(*simple))
+    out = F.lit(None).cast("string")
+    for name, make in simple.items():
+        out = F.when(kind == name, make(part)).otherwise(out)
+    return F.when(done, out).otherwise(_rows("string", python, F.when(~done | done.isNull(), x)))
+
+
+def _cell(kind: str):
+    return lambda part: F.try_variant_get(part, "$", kind)
+
+
+_VALUES = {"BIGINT": _cell("string"), "STRING": _cell("string"), "BOOLEAN": lambda p: _cell("boolean")(p).cast("int").cast("string"), "VOID": lambda p: F.lit(None).cast("string")}
+_TEXTS = {"BIGINT": _cell("string"), "STRING": lambda p: _quoted(_cell("string")(p)), "BOOLEAN": _cell("string"), "VOID": lambda p: F.lit("null")}
+_TYPES = {"BIGINT": lambda p: F.lit("integer"), "STRING": lambda p: F.lit("text"), "BOOLEAN": _cell("string"), "VOID": lambda p: F.lit("null"), "DOUBLE": lambda p: F.lit("real")}
+
+
 def json_extract(x: Column, *paths: str, as_type: str | None = None) -> Column:
     """One path: the SQL value as text (or cast to as_type); several: a JSON array.
 
@@ -374,7 +430,7 @@ def json_extract(x: Column, *paths: str, as_type: str | None = None) -> Column:
     if len(paths) == 1 and as_type and _simple(paths[0]):
         return F.get_json_object(x, paths[0]).try_cast(as_type)
     if len(paths) == 1:
-        out = _rows("string", lambda t: as_value(get(parse(t), paths[0])), x)
+        out = _read(x, paths[0], _VALUES, lambda t: as_value(get(parse(t), paths[0])))
         return out.try_cast(as_type) if as_type else out
 
     def many(t: str) -> str:
@@ -387,13 +443,13 @@ def json_extract(x: Column, *paths: str, as_type: str | None = None) -> Column:
 def arrow(x: Column, key: str | int) -> Column:
     """x -> key: the JSON text of the part, NULL if missing. key: a path, a label, or an index (negative: from the end)."""
     path = _arrow_path(key)
-    return _rows("string", lambda t: None if (r := get(parse(t), path)) is _MISSING else dump(r), x)
+    return _read(x, path, _TEXTS, lambda t: None if (r := get(parse(t), path)) is _MISSING else dump(r))
 
 
 def arrow_value(x: Column, key: str | int) -> Column:
     """x ->> key: the SQL value as text."""
     path = _arrow_path(key)
-    return _rows("string", lambda t: as_value(get(parse(t), path)), x)
+    return _read(x, path, _VALUES, lambda t: as_value(get(parse(t), path)))
 
 
 def _arrow_path(key: str | int) -> str:
@@ -403,7 +459,13 @@ def _arrow_path(key: str | int) -> str:
 
 
 def json_type(x: Column, path: str = "$") -> Column:
-    return _rows("string", lambda t: None if (r := get(parse(t), path)) is _MISSING else kind_of(r), x)
+    """null, true, false, integer, real, text, array or object; NULL if the path is missing."""
+    python = lambda t: None if (r := get(parse(t), path)) is _MISSING else kind_of(r)
+    if _plain(path) is None:
+        return _rows("string", python, x)
+    parses, part, kind = _variant(x, _plain(path) or "$")
+    simple = _read(F.when(~(kind.startswith("OBJECT") | kind.startswith("ARRAY")) | ~parses | part.isNull() | kind.isNull(), x), path, _TYPES, python)
+    return F.when(parses & kind.startswith("OBJECT"), "object").when(parses & kind.startswith("ARRAY"), "array").otherwise(simple)
 
 
 def _element(x: Column | Any, kind: str) -> Column:

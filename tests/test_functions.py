@@ -140,3 +140,40 @@ def test_json_functions(one):
     assert one(jsons.json_patch(s('{"a":1,"b":{"c":2}}'), s('{"a":null,"b":{"d":3},"e":[1]}')), jsons.json_valid(s("{a:1}")), jsons.json_valid(s("{a:1}"), 2), jsons.json_error_position(s("{bad")), jsons.json_array_length(s("[1,2]")), jsons.json_array_length(s("{}")), jsons.json_array_length(j, "$.a"), jsons.json_quote(s('a"b'))) == ('{"b":{"c":2,"d":3},"e":[1]}', 0, 1, 5, 2, 0, 3, '"a\\"b"')
     assert one(jsons.json_pretty(s('{"a":[1,{}]}'), "  "), jsons.json_array((F.lit(1), "other"), (s(None), "string"), (F.lit(True), "boolean"))) == ('{\n  "a": [\n    1,\n    {}\n  ]\n}', "[1,null,true]")
     assert one(jsons.jsonb_extract(jsons.jsonb_set(j, ("$.s", 5)).cast("string"), "$.s", "int")) == (5,)
+
+
+JSON_TEXTS = ['{"a":1}', '{"a":"x\\"y"}', '{"a":true,"b":[1,2]}', '{"a":null}', '{"a":1.50}', '{"a":1e2}', '{"a":12345678901234567890}', '{"b":{"z":1,"a":2},"a":{"z":1,"a":[]}}', '{"a":1,"a":2}', "{a:1}", "[1,2]", '"t"', "7", "null", None, '{"a":-0.0}', '{"a":"é\\u0041"}']
+
+
+def test_json_reads_of_the_jvm_are_those_of_the_document_model(spark):
+    from ferrule.functions import jsons
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(JSON_TEXTS)], "id int, j string")
+    j = F.col("j")
+    cells = [jsons.json_type(j).alias("whole"), jsons.json_type(j, "$.a").alias("type"), jsons.arrow(j, "a").alias("arrow"), jsons.arrow_value(j, "a").alias("value"), jsons.json_extract(j, "$.b[1]").alias("item"), jsons.arrow_value(j, -1).alias("last")]
+    got = {r.id: tuple(r)[1:] for r in df.select("id", *cells).collect()}
+
+    def part(t, path, turn):
+        found = jsons.get(jsons.parse(t), path)
+        return None if found is jsons._MISSING else turn(found)
+
+    for k, t in enumerate(JSON_TEXTS):
+        want = (None,) * 6 if t is None else (part(t, "$", jsons.kind_of), part(t, "$.a", jsons.kind_of), part(t, "$.a", jsons.dump), part(t, "$.a", jsons.as_value), part(t, "$.b[1]", jsons.as_value), part(t, "$[#-1]", jsons.as_value))
+        assert got[k] == want, t
+
+
+def test_strict_json_by_the_scanner_is_the_parsers_own():
+    from ferrule.functions import jsons
+
+    for t in JSON_TEXTS:
+        if t is not None:
+            assert jsons.dump(jsons.parse(t)) == jsons.dump(jsons._parse(t, False))
+    for t in ("[NaN]", "[Infinity]", "[1,]", "{'a':1}", "[01]", "[1", ""):
+        try:
+            want = jsons.dump(jsons._parse(t, False))
+        except jsons.JsonError as e:
+            with pytest.raises(jsons.JsonError) as found:
+                jsons.parse(t)
+            assert found.value.position == e.position
+        else:
+            assert jsons.dump(jsons.parse(t)) == want
