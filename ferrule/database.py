@@ -573,7 +573,11 @@ class Database:
             words = [c.name, c.type] + ["NOT NULL"] * c.not_null + ([f"DEFAULT {c.default}"] if c.default else []) + ([f"GENERATED ALWAYS AS ({c.generated})"] if c.generated else []) + ([f"COLLATE {c.collation}"] if c.collation != "BINARY" else [])
             parts.append(" ".join(w for w in words if w))
         parts += [f"PRIMARY KEY ({', '.join(t.primary_key)})"] * bool(t.primary_key) + [f"UNIQUE ({', '.join(u)})" for u in t.unique] + [f"CHECK ({c})" for c in t.checks]
-        parts += [f"FOREIGN KEY ({', '.join(f.columns)}) REFERENCES {f.parent} ({', '.join(f.parent_columns)})" for f in t.foreign_keys]
+        for f in t.foreign_keys:
+            words = [f"FOREIGN KEY ({', '.join(f.columns)}) REFERENCES {f.parent} ({', '.join(f.parent_columns)})"]
+            words += [f"ON DELETE {f.on_delete.upper()}"] * (f.on_delete != "no action") + [f"ON UPDATE {f.on_update.upper()}"] * (f.on_update != "no action")
+            words += [f"MATCH {f.match.upper()}"] * (f.match != "none") + ["DEFERRABLE INITIALLY DEFERRED"] * f.deferred
+            parts.append(" ".join(words))
         tail = ", ".join(["STRICT"] * t.strict + ["WITHOUT ROWID"] * t.without_rowid)
         return f"CREATE {'TEMP ' * t.temp}TABLE {t.name} ({', '.join(parts)})" + (f" {tail}" if tail else "")
 

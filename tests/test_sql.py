@@ -107,3 +107,40 @@ def test_lexer():
     assert kinds == [("name", "a"), ("op", "."), ("quoted", 'b"c'), ("quoted", "d"), ("quoted", "e"), ("string", "f'g"), ("blob", "4A"), ("number", "10"), ("number", ".5e3"), ("op", "<>"), ("op", "->>"), ("end", "")]
     with pytest.raises(SyntaxError):
         lex("a ? b")
+
+
+def test_repl(db):
+    import io
+
+    from ferrule import repl
+
+    out = io.StringIO()
+    text = """.help
+.tables
+.schema orders
+SELECT id,
+  name FROM users WHERE id < 3
+  ORDER BY id;
+CREATE TRIGGER g AFTER DELETE ON orders BEGIN
+  DELETE FROM users WHERE id = OLD.user_id;
+END;
+DELETE FROM orders WHERE id = 3;
+SELECT count(*) AS n, max(age > 5) AS b FROM users;
+SELECT nope FROM users;
+.nothing
+.exit
+SELECT 1;
+"""
+    repl.loop(db, io.StringIO(text), out)
+    got = out.getvalue()
+    assert "orders\nusers\n" in got and "FOREIGN KEY (user_id) REFERENCES users (id) ON DELETE CASCADE" in got
+    assert "id | name\n1 | ann\n2 | bob\nok\nok\nn | b\n2 | true\nerror: 'no such column: nope'\nunknown command: .nothing\n" in got
+    assert repl.complete("SELECT ';';") and not repl.complete("SELECT ';'") and not repl.complete("CREATE TRIGGER x AFTER DELETE ON t BEGIN DELETE FROM t;")
+
+
+def test_triggers_can_stop_a_statement(db):
+    db.execute("CREATE TRIGGER stop BEFORE UPDATE OF age ON users WHEN NEW.age > 100 BEGIN SELECT RAISE(ABORT, 'too old'); END")
+    with pytest.raises(ConstraintError, match="too old"):
+        db.execute("UPDATE users SET age = age * 10 WHERE id = 1")
+    db.execute("UPDATE users SET age = 99 WHERE id = 1; UPDATE users SET name = 'cy' WHERE id = 3; DROP TRIGGER stop; UPDATE users SET age = 101 WHERE id = 1")
+    assert q(db, "SELECT age, name FROM users WHERE id <> 2 ORDER BY id") == [(101, "ann"), (None, "cy")]
