@@ -164,6 +164,94 @@ def test_language_query_judges_all_documents_and_pages(spark, sf):
     assert {(r.page_id, r.lang, r.posterior, r.text_lang, r.declared, r.kept) for r in got if r.page_id is not None} == pages
 
 
+def language_reference(rows):
+    """Bayes' rule in plain loops over (key, text, declared, host, suffix): {key: (lang, posterior, text_lang, kept)}."""
+    names, n = language.LANGUAGES, len(language.LANGUAGES)
+
+    def grams(t):
+        low = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())
+        words = [b" " + w + b" " for w in re.findall(rb"[a-z\x80-\xff]+", low)]
+        return [((w[i] << 16 | w[i + 1] << 8 | w[i + 2]) * 2654435761 % 2**32) >> 17 for w in words for i in range(len(w) - 2)]
+
+    table = np.full((n, language.TABLE), language.SMOOTH)
+    for _, t, said, _, _ in rows:
+        if said in names and t is not None:
+            for b in grams(t):
+                table[names.index(said), b] += 1
+    table = np.log(table / table.sum(axis=1, keepdims=True))
+    seen = []
+    for key, t, said, host, suffix in rows:
+        own = grams(t)
+        ll = np.array([sum(table[k, b] for b in own) for k in range(n)]) * language.INDEPENDENT
+        near = ll.max() / language.INDEPENDENT / max(len(own), 1)
+        place = names.index(said) if said in names else None
+        seen.append({"key": key, "ll": ll - ll.max(), "near": near, "letters": len(own), "said": place, "own": int(ll.argmax()) if own else None, "host": host, "suffix": suffix, "declared": said})
+    agreed = sorted(r["near"] for r in seen if r["said"] is not None and r["said"] == r["own"])
+    for r in seen:
+        r["strange"] = (agreed[-(-len(agreed) // 2) - 1] - language.FAR - r["near"]) * r["letters"] * language.INDEPENDENT + np.log(language.UNKNOWN) if agreed else -np.inf
+        if r["strange"] > 0:
+            r["own"] = None
+    said = collections.Counter((r["said"], r["own"]) for r in seen if r["said"] is not None and r["own"] is not None)
+    values = {v for v, _ in said}
+    share = lambda part, whole, kinds: np.log((part + language.DECLARE / kinds) / (whole + language.DECLARE))
+    total = [sum(c for (_, o), c in said.items() if o == k) for k in range(n)]
+    trust = {v: [share(said[v, k], total[k], len(values)) for k in range(n)] + [share(sum(said[v, k] for k in range(n)), sum(total), len(values))] for v in values}
+    ends = collections.Counter((r["suffix"], r["own"]) for r in seen if r["suffix"] is not None and r["own"] is not None)
+    kinds = {v for v, _ in ends}
+    by = [sum(c for (_, o), c in ends.items() if o == k) for k in range(n)]
+    suffixes = {v: [share(ends[v, k], by[k], len(kinds)) for k in range(n)] + [share(sum(ends[v, k] for k in range(n)), sum(by), len(kinds))] for v in kinds}
+    votes = [(r["host"], r["own"] if r["letters"] else r["said"]) for r in seen if r["host"] is not None]
+    votes = [(h, v) for h, v in votes if v is not None]
+    levels = [lambda h: "", lambda h: h.split(".")[-1], lambda h: ".".join(h.split(".")[-2:]), lambda h: h]
+
+    def prior(host, level):
+        above = np.full(n, 1 / n) if level == 0 else prior(host, level - 1)
+        own = [v for h, v in votes if levels[level](h) == levels[level](host)]
+        return (np.array([own.count(k) for k in range(n)]) + language.PARENT * above) / (len(own) + language.PARENT)
+
+    out = {}
+    for r in seen:
+        score = list(r["ll"]) + [r["strange"] if r["letters"] else -np.inf]
+        for k in range(n + 1):
+            score[k] += trust[r["said"]][k] if r["said"] in trust else 0
+            score[k] += suffixes[r["suffix"]][k] if r["suffix"] in suffixes else 0
+            if k < n and r["host"] in {h for h, _ in votes}:
+                score[k] += np.log(prior(r["host"], 3)[k])
+        best = int(np.argmax(score))
+        posterior = 1 / sum(np.exp(x - score[best]) for x in score)
+        lang = (*names, "und")[best] if r["letters"] else "und"
+        out[r["key"]] = (lang, posterior, None if r["own"] is None else names[r["own"]], bool(r["letters"] and best < n and posterior >= language.KEEP))
+    return out
+
+
+def test_language_against_plain_loops(spark):
+    r = random.Random(9)
+    said = {"de": "das haus und der hund sind nicht hier aber dort", "en": "the house and the dog are not here but there", "es": "la casa y el perro no son de aqui pero si", "fr": "la maison et le chien ne sont pas ici mais la"}
+    hosts = ["a.de", "b.a.de", "x.org", "y.x.org", "z.fr", None]
+    rows = []
+    for k in range(120):
+        lang = r.choice(list(said))
+        words = said[lang].split()
+        text = " ".join(r.choice(words) for _ in range(r.randint(1, 9)))
+        host = r.choice(hosts)
+        rows.append((k, text, r.choice([lang, lang, lang, "it", None, r.choice(list(said))]), host, host.split(".")[-1] if host else None))
+    rows += [(900, None, "de", "a.de", "de"), (901, "12 !!", "fr", None, None), (902, "", None, "new.net", "net"), (903, "qqxz wvvk zzkq xxyy jjqq kkvv" * 3, "en", "x.org", "org"), (904, "la", None, "z.fr", "fr")]
+    got = {x.id: x for x in language.identify(spark.createDataFrame(rows, "id long, text string, declared string, host string, address_suffix string")).collect()}
+    want = language_reference(rows)
+    assert len(got) == len(rows)
+    for key, (lang, posterior, text_lang, kept) in want.items():
+        x = got[key]
+        assert (x.lang, x.text_lang, x.kept) == (lang, text_lang, kept) and x.posterior == pytest.approx(posterior, abs=1e-4), key
+
+
+def test_language_without_declarations(spark):
+    """Rows whose declaration is hidden are told by text and host."""
+    docs = load(spark, "/root/testdata/sf0.01", "documents")
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    got = language.of_documents(hidden).join(docs.select("doc_id", F.col("lang").alias("true"), F.length("text").alias("n")), "doc_id").where("doc_id % 5 = 0").collect()
+    assert len(got) == docs.where("doc_id % 5 = 0").count() and sum(r.lang == r.true for r in got) >= 0.98 * len(got)
+
+
 def test_language_rare_suffixes_are_evidence(spark):
     suffix = lambda k: f"s{k:04d}"
     texts = {"de": "das haus und der hund sind nicht hier", "fr": "la maison et le chien ne sont pas ici"}
