@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from ferrule.functions import nulls
+from ferrule.functions import jsons, nulls
 
 Value = tuple[str, str]
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -207,6 +207,48 @@ def python(name: str, kind: str = "text") -> Callable[..., Value]:
     return build
 
 
+_VALUES = {"BIGINT": "try_variant_get({0}, '$', 'string')", "STRING": "try_variant_get({0}, '$', 'string')", "BOOLEAN": "CAST(CAST(try_variant_get({0}, '$', 'boolean') AS INT) AS STRING)", "VOID": "CAST(NULL AS STRING)"}
+_TEXTS = {"BIGINT": "to_json({0})", "STRING": "to_json({0})", "BOOLEAN": "to_json({0})", "VOID": "'null'"}
+_TYPES = {"BIGINT": "'integer'", "STRING": "'text'", "BOOLEAN": "try_variant_get({0}, '$', 'string')", "VOID": "'null'", "DOUBLE": "'real'"}
+
+
+def read(name: str, cells: dict[str, str]) -> Callable[..., Value]:
+    """A function that reads one part of a JSON text: by VARIANT where the path is a plain literal and the part's type is
+    one of cells; other rows go to Python, these send it a NULL."""
+    slow = python(name)
+
+    def build(x: Value, path: Value = ("'$'", "text"), *more: Value) -> Value:
+        try:
+            label = int(path[0]) if path[1] == "int" else _literal(path)
+        except (NotImplementedError, ValueError):
+            return slow(x, path, *more)
+        bare = jsons._plain(jsons._arrow_path(label) if name.startswith("json_arrow") else str(label))
+        if more or bare is None:
+            return slow(x, path, *more)
+        whole = f"try_parse_json({text(x)})"
+        part = whole if bare == "$" else f"try_variant_get({whole}, {quote(bare)}, 'variant')"
+        kind = f"schema_of_variant({part})"
+        done = f"({whole} IS NOT NULL AND ({part} IS NULL OR {kind} IN ({', '.join(map(quote, cells))})))"
+        cases = " ".join(f"WHEN {quote(k)} THEN {v.format(part)}" for k, v in cells.items())
+        rest, result = slow((f"CASE WHEN NOT coalesce({done}, false) THEN {text(x)} END", x[1]), path)
+        return f"CASE WHEN {done} THEN CASE {kind} {cases} END ELSE {rest} END", result
+
+    return build
+
+
+def _json_valid(x: Value, flags: Value = ("1", "int")) -> Value:
+    if not flags[0].isdigit() or not int(flags[0]) & 3:
+        return python("json_valid", "int")(x, flags)
+    sure = f"(try_parse_json({text(x)}) IS NOT NULL)"
+    return f"CASE WHEN {sure} THEN 1 ELSE {python('json_valid', 'int')((f'CASE WHEN NOT {sure} THEN {text(x)} END', x[1]), flags)[0]} END", "int"
+
+
+def _json_length(x: Value, *path: Value) -> Value:
+    if path:
+        return python("json_array_length", "int")(x, *path)
+    return f"CASE WHEN {x[0]} IS NOT NULL THEN CAST(coalesce(json_array_length({text(x)}), 0) AS BIGINT) END", "int"
+
+
 _f = lambda template, kind: lambda *xs: (template.format(*(x[0] for x in xs)), kind)
 _m = lambda name: lambda *xs: (f"{name}({', '.join(_d(x) for x in xs)})", "real")
 _keep = lambda name: lambda x: (f"CAST({name}({x[0]}) AS {'BIGINT' if x[1] == 'int' else 'DOUBLE'})", x[1] if x[1] == "int" else "real")
@@ -231,7 +273,8 @@ FUNCTIONS: dict[str, Callable[..., Value]] = {
     "random": _f("xxhash64(rand(), rand())", "int"), "randomblob": _f("substr(unhex(repeat(hex(xxhash64(rand(), rand())), CAST({0} AS INT))), 1, greatest({0}, 1))", "blob"),
     "date": _formatted("yyyy-MM-dd"), "time": _formatted("HH:mm:ss"), "datetime": _formatted("yyyy-MM-dd HH:mm:ss"), "julianday": lambda *a: (f"unix_micros({moment(a)}) / 86400000000D + 2440587.5D", "real"), "unixepoch": lambda *a: (f"unix_seconds({moment(a)})", "int"), "strftime": strftime,
     "timediff": lambda a, b: python("timediff")((f"CAST({moment((a,))} AS STRING)", "text"), (f"CAST({moment((b,))} AS STRING)", "text")),
-    **{n: python(n) for n in ("json", "json_pretty", "json_quote", "json_extract", "json_type", "json_array", "json_object", "json_remove", "json_set", "json_insert", "json_replace", "json_patch")}, **{n: python(n, "int") for n in ("json_valid", "json_error_position", "json_array_length")},
+    **{n: python(n) for n in ("json", "json_pretty", "json_quote", "json_array", "json_object", "json_remove", "json_set", "json_insert", "json_replace", "json_patch")},
+    "json_extract": read("json_extract", _VALUES), "json_type": read("json_type", _TYPES), "json_valid": _json_valid, "json_array_length": _json_length, "json_error_position": python("json_error_position", "int"),
     **{f"jsonb{n}": (lambda f: lambda *xs: (f"parse_json({f(*xs)[0]})", "any"))(python(f"json{n}")) for n in ("", "_array", "_object", "_remove", "_set", "_insert", "_replace", "_patch")}, "jsonb_extract": _jsonb_extract,
     "sqlite_version": _f(quote(nulls.VERSION), "text"), "sqlite_source_id": _f(quote(nulls.SOURCE_ID), "text"), "sqlite_compileoption_used": lambda x: (str(int(_literal(x).upper() in [o.split("=")[0] for o in nulls.COMPILE_OPTIONS])), "int"), "sqlite_log": _f("CAST(NULL AS STRING)", "text"),
     "sqlite_compileoption_get": lambda x: (quote(nulls.COMPILE_OPTIONS[int(x[0])]) if int(x[0]) < len(nulls.COMPILE_OPTIONS) else "CAST(NULL AS STRING)", "text"), "like": lambda p, x: (f"{fold(x[0])} LIKE {fold(p[0])}", "bool"),

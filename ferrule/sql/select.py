@@ -291,7 +291,10 @@ class Parser:
             x, y = a(s), b(s)
             if op == "||":
                 return f"({fn.text(x)} || {fn.text(y)})", "text"
-            return fn.python("json_arrow" if op == "->" else "json_arrow_value")(x, ("concat('$[', CASE WHEN {0} < 0 THEN concat('#', {0}) ELSE {0} END, ']')".format(y[0]), "text") if y[1] == "int" else y)
+            cells, function = (fn._TEXTS, "json_arrow") if op == "->" else (fn._VALUES, "json_arrow_value")
+            if y[1] == "int" and not re.fullmatch(r"-?[0-9]+", y[0].strip("()")):
+                return fn.python(function)(x, ("concat('$[', CASE WHEN {0} < 0 THEN concat('#', {0}) ELSE {0} END, ']')".format(y[0]), "text"))
+            return fn.read(function, cells)(x, (y[0].strip("()"), "int") if y[1] == "int" else y)
 
         return render
 
