@@ -2,16 +2,16 @@
 
 Fingerprints: 64 bits over the XXH64 hashes of a text's word 3-grams. Two fingerprints that differ in at most 3 bits
 differ in at most 3 of their 8 bytes, so they share at least 5 positional bytes. Tallying single positional bytes
-would meet a list of n / 256 fingerprints for each byte and a pair count that grows with n * n. By the same guarantee
-any 7 positions hold at least 4 shared bytes: the index therefore lists fingerprints by 4 positional bytes at once
-(35 choices among the first 7 positions), which loses no pair and keeps lists short. Within a list shared bytes are
-tallied for each pair, pairs with fewer than 5 are dropped and the rest verified by their differing bits.
+would meet a list of n / 256 fingerprints for each byte and a pair count that grows with n * n. The index therefore
+lists fingerprints by 5 positional bytes at once (56 choices): a list holds exactly the pairs whose tally reaches the
+guaranteed minimum in those places, no pair that reaches it is missed, and none that doesn't is met. Pairs of a list
+are verified by their differing bits.
 
-Scale: equal fingerprints are one entry, so copies cost nothing beyond the fingerprint pass. A list is worked on in
-blocks of BLOCK x BLOCK in memory; a list of more than LONG entries is joined with itself by flipping up to 3 of the
-32 bits that its entries can differ in and looking the results up, which is linear in its length. From a list only a
-spanning forest of the links is emitted, at most one edge an entry, never its pairs. Components are then found by
-distributed star rounds. Nothing is capped.
+Scale: equal fingerprints are one entry, so copies cost nothing beyond the fingerprint pass. The entries of a list
+differ in 3 bytes, so a list has 2^24 of them at most, whatever the input. Up to LONG entries it is worked on in blocks of
+BLOCK x BLOCK in memory; beyond, each entry's up to 3 flips of the 24 bits are looked up, which is linear in its
+length. Both find the same pairs. From a list only a spanning forest of the links is emitted, at most one edge an
+entry, never its pairs. Components are then found by distributed star rounds. Nothing is capped.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other. Rows without doc_id take part;
 a component's id is the smallest id in it, null if it has none. Repeated rows are all returned. Other columns are not
@@ -35,8 +35,7 @@ from ferrule.session import broadcast_if_small, stage
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 SHARED = 8 - MAX_BITS  # positional bytes that a linked pair shares at least
-POSITIONS, KEY = 7, 4  # of any 7 positions, a linked pair shares 4 at least
-BLOCK, LONG = 1024, 8192
+BLOCK, LONG = 1024, 4096
 #: Fingerprints that a task turns into entries of lists.
 FINGERPRINTS = 20_000
 #: Ids of removed documents that may be broadcast.
@@ -97,16 +96,14 @@ def _roots(n: int, edges: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 
 
 def _links(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a list (distinct, sorted, sharing 4 bytes of 8) that differ in at most MAX_BITS bits, in blocks."""
+    """Index pairs of a list (distinct, sorted, sharing SHARED positional bytes) that differ in at most MAX_BITS bits, in
+    blocks."""
     n = len(fps)
     if n <= LONG:
         for i in range(0, n, BLOCK):
             for j in range(i, n, BLOCK):
-                x = fps[i : i + BLOCK, None] ^ fps[None, j : j + BLOCK]
-                shared = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=2)
-                a, b = np.nonzero(shared >= SHARED)
-                near = np.bitwise_count(x[a, b]) <= MAX_BITS
-                yield a[near] + i, b[near] + j
+                a, b = np.nonzero(np.bitwise_count(fps[i : i + BLOCK, None] ^ fps[None, j : j + BLOCK]) <= MAX_BITS)
+                yield a + i, b + j
         return
     varying = [1 << k for k in range(64) if int(np.bitwise_or.reduce(fps ^ fps[0])) >> k & 1]
     for flips in range(1, MAX_BITS + 1):
@@ -120,7 +117,7 @@ def _links(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(u, v): a spanning forest, list by list, of the links between distinct fingerprints fp."""
-    choices = list(itertools.combinations(range(POSITIONS), KEY))
+    choices = list(itertools.combinations(range(8), SHARED))
     keys = F.array(
         *(
             F.struct(
@@ -151,7 +148,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of each row."""
     prints = stage(fingerprints(documents), "fingerprints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    # Few bytes hold many fingerprints, and each becomes an entry of 35 lists: spread them over tasks first.
+    # Few bytes hold many fingerprints, and each becomes an entry of 56 lists: spread them over tasks first.
     tasks = max(1, -(-distinct.count() // FINGERPRINTS))
     found = components(links(distinct.select("fp").repartition(tasks, "fp")))
     roots = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
