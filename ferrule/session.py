@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch between the JVM and Python; Spark's own 10,000 are too many for long texts.
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 
 
 def get_spark(app: str = "ferrule", cpus: str = "*", **conf: str) -> SparkSession:
