@@ -162,7 +162,7 @@ def _seeds(buckets: int, size: int):
             batch = batch.filter(pc.is_valid(batch.column(0)))
             raw_all, off_all = tx.utf8(batch.column(1))
             ids_all = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in tx.slices(off_all):
+            for i, j in tx.slices(off_all, 2 * tx.SLICE):  # the longer, the smaller the packets together
                 raw, off = raw_all[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i]
                 tags = _tags(_texts(raw, off))
                 runs = anchors(raw, off, size)

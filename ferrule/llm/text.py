@@ -61,8 +61,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-#: Bytes of text that are worked on at once: some 100 MB of arrays at most (more only for one longer text).
-SLICE = (1 << 20) - 64
+#: Bytes of text that are worked on at once: some 50 MB of arrays at most (more only for one longer text).
+SLICE = (1 << 19) - 64
 
 
 def slices(off: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
