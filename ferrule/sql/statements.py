@@ -16,9 +16,9 @@ from ferrule.sql.select import Parser, Scope, kind, name
 
 def run(db: Database, sql: str) -> DataFrame | None:
     """All statements of a text; each is planned after the one before it ran. The last one's rows, if it gives any."""
-    if not getattr(db, "_sql_ready", False):
+    if not getattr(db.spark, "_ferrule_sql", False):  # once for a session
         fn.register(db.spark)
-        db._sql_ready = True
+        db.spark._ferrule_sql = True
     out, parser = None, None
     parser = Statements(db, sql)
     while parser.now.kind != "end":
