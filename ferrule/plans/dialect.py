@@ -22,9 +22,12 @@ def database(t, sql: str) -> Database:
     return db
 
 
-def add(name: str, sql: str, oracle: str | None = None) -> None:
-    """A query; oracle: DuckDB's text where it differs."""
-    R.add(name, oracle or sql)(lambda t: database(t, sql).query(sql))
+def add(name: str, sql: str, oracle: str | None = None, sums: str = "") -> None:
+    """A query; oracle: DuckDB's text where it differs. sums: columns with sums of integers, which DuckDB widens."""
+    text = oracle or sql
+    if sums:
+        text = f"SELECT * REPLACE ({', '.join(f'{c}::BIGINT AS {c}' for c in sums.split())}) FROM ({text})"
+    R.add(name, text)(lambda t: database(t, sql).query(sql))
 
 
 def script(name: str, sql: str, oracle: str) -> None:
@@ -101,7 +104,7 @@ add("sql_view_scan", "SELECT count(*) AS n, min(o_orderkey) AS lo FROM orders NO
 
 # Aggregates ------------------------------------------------------------------------------------------------------
 
-add("sql_group_having", "SELECT o_orderstatus AS s, o_orderpriority, count(*) AS n, sum(o_custkey) AS k, round(avg(o_totalprice), 4) AS a FROM orders GROUP BY s, 2 HAVING n > 10 AND sum(o_custkey) > 0")
+add("sql_group_having", "SELECT o_orderstatus AS s, o_orderpriority, count(*) AS n, sum(o_custkey) AS k, round(avg(o_totalprice), 4) AS a FROM orders GROUP BY s, 2 HAVING n > 10 AND sum(o_custkey) > 0", sums="k")
 add("sql_having_without_group", "SELECT count(*) AS n FROM orders HAVING count(*) > 5")
 add("sql_aggregate_forms", "SELECT c_nationkey, total(c_custkey) AS t, group_concat(c_custkey, ';' ORDER BY c_custkey DESC) AS g, median(c_acctbal) AS m, count(DISTINCT c_mktsegment) AS d, count(*) FILTER (WHERE c_acctbal < 0) AS f, percentile_disc(c_acctbal, 0.5) AS p FROM customer GROUP BY c_nationkey",
     "SELECT c_nationkey, sum(c_custkey)::DOUBLE AS t, string_agg(c_custkey::VARCHAR, ';' ORDER BY c_custkey DESC) AS g, median(c_acctbal) AS m, count(DISTINCT c_mktsegment) AS d, count(*) FILTER (WHERE c_acctbal < 0) AS f, quantile_disc(c_acctbal, 0.5) AS p FROM customer GROUP BY c_nationkey")
@@ -113,11 +116,11 @@ add("sql_bare_column", "SELECT o_orderstatus, o_orderkey, max(o_totalprice) AS t
 
 _G = "PARTITION BY o_orderpriority ORDER BY o_custkey"
 add("sql_window_ranking", "SELECT o_orderkey, row_number() OVER w AS a, rank() OVER v AS b, dense_rank() OVER v AS c, ntile(4) OVER w AS d, lag(o_orderkey, 2) OVER w AS e, first_value(o_orderkey) OVER w AS f FROM orders WINDOW v AS (PARTITION BY o_orderstatus ORDER BY o_custkey), w AS (PARTITION BY o_orderstatus ORDER BY o_custkey, o_orderkey)")
-add("sql_window_frames", f"SELECT o_orderkey, sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND UNBOUNDED FOLLOWING) AS a, count(*) OVER ({_G} RANGE BETWEEN 5 PRECEDING AND UNBOUNDED FOLLOWING) AS b, sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS 2 PRECEDING) AS c FROM orders")
-add("sql_window_groups", f"SELECT o_orderkey, count(*) OVER ({_G} GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS a, sum(o_custkey) OVER ({_G} GROUPS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b, max(o_custkey) OVER ({_G} GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM orders WHERE o_orderkey % 2 = 0")
-add("sql_window_exclude", f"SELECT o_orderkey, sum(o_custkey) OVER ({_G} GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS a, count(*) OVER ({_G} GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS b, min(o_custkey) OVER ({_G} RANGE BETWEEN 9 PRECEDING AND CURRENT ROW EXCLUDE TIES) AS c, count(*) OVER ({_G}, o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS d FROM orders")
+add("sql_window_frames", f"SELECT o_orderkey, sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND UNBOUNDED FOLLOWING) AS a, count(*) OVER ({_G} RANGE BETWEEN 5 PRECEDING AND UNBOUNDED FOLLOWING) AS b, sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS 2 PRECEDING) AS c FROM orders", sums="a c")
+add("sql_window_groups", f"SELECT o_orderkey, count(*) OVER ({_G} GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS a, sum(o_custkey) OVER ({_G} GROUPS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b, max(o_custkey) OVER ({_G} GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM orders WHERE o_orderkey % 2 = 0", sums="b")
+add("sql_window_exclude", f"SELECT o_orderkey, sum(o_custkey) OVER ({_G} GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS a, count(*) OVER ({_G} GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS b, min(o_custkey) OVER ({_G} RANGE BETWEEN 9 PRECEDING AND CURRENT ROW EXCLUDE TIES) AS c, count(*) OVER ({_G}, o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS d FROM orders", sums="a")
 add("sql_window_filter_total", "SELECT n_nationkey, total(n_nationkey) OVER (PARTITION BY n_regionkey) AS a, sum(n_nationkey) FILTER (WHERE n_nationkey > 5) OVER (PARTITION BY n_regionkey) AS b, group_concat(n_name, '|') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS c FROM nation",
-    "SELECT n_nationkey, (sum(n_nationkey) OVER (PARTITION BY n_regionkey))::DOUBLE AS a, sum(n_nationkey) FILTER (WHERE n_nationkey > 5) OVER (PARTITION BY n_regionkey) AS b, string_agg(n_name, '|') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS c FROM nation")
+    "SELECT n_nationkey, (sum(n_nationkey) OVER (PARTITION BY n_regionkey))::DOUBLE AS a, sum(n_nationkey) FILTER (WHERE n_nationkey > 5) OVER (PARTITION BY n_regionkey) AS b, string_agg(n_name, '|') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS c FROM nation", sums="b")
 add("sql_window_json", "SELECT n_nationkey, json_group_object(n_name, n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS a, json_group_array(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS b FROM nation",
     "SELECT n_nationkey, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) || '}' AS a, '[' || string_agg('\"' || n_name || '\"', ',') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) || ']' AS b FROM nation")
 

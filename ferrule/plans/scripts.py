@@ -109,7 +109,7 @@ script("ddl_indexed_scan", _T + "CREATE UNIQUE INDEX i ON t (name) WHERE n > 1;
 script("ddl_no_op", _T + "ANALYZE; REINDEX; VACUUM; CREATE TABLE IF NOT EXISTS t (x INT)" + _ALL, rows("id, name, n", A, B, C))
 script("dml_savepoints", _T + "BEGIN; DELETE FROM t WHERE id = 1; SAVEPOINT s; DELETE FROM t; ROLLBACK TO s; RELEASE s; COMMIT; BEGIN; DELETE FROM t; ROLLBACK" + _ALL, rows("id, name, n", B, C))
 _LOG = "CREATE TABLE log (what TEXT, was INTEGER, now INTEGER); "
-script("trigger_insert", _T + _LOG + "CREATE TRIGGER g AFTER INSERT ON t WHEN NEW.n > 5 BEGIN INSERT INTO log VALUES ('in', NULL, NEW.id); END; INSERT INTO t VALUES (8, 'x', 9), (9, 'y', 1); SELECT * FROM log", rows("what, was, now", "'in', NULL, 8"))
+script("trigger_insert", _T + _LOG + "CREATE TRIGGER g AFTER INSERT ON t WHEN NEW.n > 5 BEGIN INSERT INTO log VALUES ('in', NULL, NEW.id); END; INSERT INTO t VALUES (8, 'x', 9), (9, 'y', 1); SELECT * FROM log", rows("what, was, now", "'in', NULL::BIGINT, 8"))
 script("trigger_update", _T + _LOG + "CREATE TRIGGER g AFTER UPDATE OF n ON t FOR EACH ROW BEGIN INSERT INTO log VALUES ('up', OLD.n, NEW.n); UPDATE t SET name = 'seen' WHERE id = NEW.id; END; UPDATE t SET n = n + 10 WHERE id > 1; UPDATE t SET name = 'q' WHERE id = 1; SELECT what, was, now, name FROM log JOIN t ON n = now", rows("what, was, now, name", "'up', 2, 12, 'seen'", "'up', 3, 13, 'seen'"))
 script("trigger_delete", _T + _LOG + "CREATE TRIGGER g BEFORE DELETE ON t BEGIN INSERT INTO log SELECT 'gone', OLD.id, n FROM t WHERE id = OLD.id; DELETE FROM log WHERE was = OLD.id + 100; END; DELETE FROM t WHERE id < 3; DROP TRIGGER g; SELECT what, was, now FROM log", rows("what, was, now", "'gone', 1, 1", "'gone', 2, 2"))
 
@@ -191,7 +191,7 @@ pragma("index_list", "(c)", 'seq, name, "unique", origin, partial', "0, 'ci', 1,
 pragma("index_xinfo", "(ci)", 'seqno, cid, name, "desc", coll, key', "0, 0, 'k', 0, 'BINARY', 1", "1, 1, 'p', 0, 'BINARY', 1", "2, -1, NULL, 0, 'BINARY', 0")
 pragma("foreign_key_list", "(c)", 'id, seq, "table", "from", "to", on_update, on_delete, match', "0, 0, 'p', 'p', 'id', 'SET NULL', 'CASCADE', 'NONE'")
 pragma("foreign_key_check", "", '"table", rowid, parent, fkid', "'c', 1, 'p', 0")
-pragma("stats", "", "tbl, idx, wdth, hght, flgs", "'p', NULL, 3, 0, 0", "'c', NULL, 2, 0, 0")
+pragma("stats", "", "tbl, idx, wdth, hght, flgs", "'p', NULL::VARCHAR, 3, 0, 0", "'c', NULL, 2, 0, 0")
 script("pragma_functions", "SELECT count(*) > 80 AS many, sum(name IN ('abs', 'json_extract', 'printf', 'strftime')) AS known FROM pragma_function_list()", rows("many, known", "true, 4"))
 script("pragma_compile_options_rows", "SELECT count(*) > 0 AS found FROM pragma_compile_options()", rows("found", "true"))
 
