@@ -9,7 +9,8 @@ rarest shingle only. Its place in the window fixes where the window would start
 
 Scale: one plan at all sizes. The text is read to count the benchmark's shingles, to join their hashes with (id, text
 hash, place), and, for the documents that met a window, to verify; no word row carries its document. The benchmark's
-sides and the documents to verify are broadcast if their measured rows and bytes allow it, else Spark joins by shuffle.
+sides and the keys of the documents to verify are broadcast if their measured rows and bytes allow it, else Spark joins
+by shuffle; the texts to verify are shuffled to their windows.
 Word counts and hits are pre-aggregated where they arise; a shingle that a third of the documents hold is no prefix
 unless all shingles of its window are as frequent.
 
@@ -109,12 +110,16 @@ def judge(documents: DataFrame, items: DataFrame, size: int = SIZE, share: int =
     """
     table, lengths = windows(items, documents, size)
     found = stage(candidates(documents, broadcast_if_small(table, MAX_BROADCAST_WINDOWS), lengths), "met")
-    met = broadcast_if_small(found.where(F.size("met") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "met"), MAX_BROADCAST_ROWS)
-    same = documents["doc_id"].eqNullSafe(met["_id"]) & (F.xxhash64(documents["text"]) == met["_h"])
+    met = found.where(F.size("met") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "met")
+    # Only keys are broadcast: windows grow with the documents that met some. The texts of these documents, and of no
+    # other, are shuffled to their windows.
+    keys = broadcast_if_small(met.select("_id", "_h"), MAX_BROADCAST_ROWS)
+    own = documents.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t"), F.xxhash64("text").alias("_x"))
+    own = own.join(keys, own["_d"].eqNullSafe(keys["_id"]) & (own["_x"] == keys["_h"]), "left_semi")
+    texts = own.join(met.hint("merge"), own["_d"].eqNullSafe(met["_id"]) & (own["_x"] == met["_h"]))
     # In a lambda's own variable, so that a text is cut into words once and not for each of its windows.
-    both = F.array(F.struct(words(documents["text"]).alias("w"), F.col("met").alias("met")))
+    both = F.array(F.struct(words(F.col("_t")).alias("w"), F.col("met").alias("met")))
     exact = F.transform(both, lambda x: F.filter(x["met"], lambda m: F.slice(x["w"], m["s"] + 1, F.size(m["win"])) == m["win"]))[0]
-    texts = documents.join(met, same)
     hits = F.array_sort(F.transform("hits", lambda m: F.struct(m["s"].alias("s"), (m["s"] + F.size(m["win"])).alias("e"))))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     grown = F.aggregate(
