@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ferrule.session import stage
+
 
 # Sources ---------------------------------------------------------------------------------------------------------
 
@@ -29,15 +31,19 @@ def single_row(spark: SparkSession) -> DataFrame:
 def with_rowid(df: DataFrame, order: Sequence[str | Column], name: str = "rowid") -> DataFrame:
     """df with dense row ids from 1 in a total order.
 
-    Range-partitioned: a sort over all tasks, counts by partition, and row numbers within; never one task.
+    Range-partitioned: a sort over all tasks, counts by partition, and row numbers within; never one task. The sorted
+    rows are staged with their places: Spark samples the ranges' bounds anew whenever it plans the same rows again, so
+    counts and numbers must come from one run.
     """
     spark = df.sparkSession
     sort = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *sort).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").count()
+    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *sort).sortWithinPartitions(*sort)
+    placed = stage(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranged")  # the partition's number, then 33 bits of the row's
+    part, own = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("_p")).count()
     bases = counts.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*sort))
-    return ranged.withColumn("_own", own).join(F.broadcast(bases), "_p").withColumn(name, (F.col("_own") + F.col("_base")).cast("long")).drop("_p", "_own", "_base")
+    numbered = placed.withColumn("_p", part).join(F.broadcast(bases), "_p")
+    return numbered.withColumn(name, (F.col("_base") + own + 1).cast("long")).drop("_p", "_at", "_base")
 
 
 # Projection ------------------------------------------------------------------------------------------------------

@@ -57,7 +57,7 @@ def _(t):
 
 @R.add("scan_rowid", "SELECT row_number() OVER (ORDER BY c_name, c_custkey) AS rowid, c_name FROM customer")
 def _(t):
-    return rel.with_rowid(t("customer"), ["c_name", "c_custkey"]).select("rowid", "c_name")
+    return rel.with_rowid(t("customer").select("c_name", "c_custkey"), ["c_name", "c_custkey"]).select("rowid", "c_name")
 
 
 @R.add("project_expressions", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_orderkey AS k FROM lineitem WHERE l_quantity < 3")

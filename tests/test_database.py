@@ -257,3 +257,12 @@ def test_streaming_windows(spark, sf, tmp_path):
     q.stop()
     assert spark.table("stream_out").agg(F.sum("n")).first()[0] == batch.count()
     assert stream.sessions(batch, "ts", "5 minutes", "1 hour", "user_id").agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_row_ids_of_more_rows_than_the_bounds_are_sampled_from(spark):
+    rows = spark.range(20_000).select("id", (F.col("id") * 7919 % 20_000).alias("k")).withColumn("x", F.when(F.col("k") % 3 > 0, F.col("k")))
+    up = rel.with_rowid(rows, [rel.order_key(F.col("x")), "k"], "a")
+    got = rel.with_rowid(up, [rel.order_key(F.col("x"), True), rel.order_key(F.col("k"), True)], "d").orderBy("a").collect()
+    assert [r.k for r in got] == [k for k in range(20_000) if k % 3 == 0] + [k for k in range(20_000) if k % 3]
+    assert [r.a for r in got] == list(range(1, 20_001))
+    assert [r.d for r in got] == list(range(20_000, 0, -1))
