@@ -221,13 +221,13 @@ def _(t):
 
 @R.add("store_sqlite", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def _(t):
-    """A table written to a SQLite 3 file and read back; the file is the driver's own, as such files are."""
-    from ferrule.sources.sqlite_file import SqliteSource, write_table
+    """A table written to a SQLite 3 file and read back; the driver writes it, and the executors read copies sent to them."""
+    from ferrule.sources.sqlite_file import SqliteSource, ship_file, write_table
 
     spark = t("region").sparkSession
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("a file of one machine, for local sessions")
     spark.dataSource.register(SqliteSource)
-    path = os.path.join(tempfile.mkdtemp(), "store.db")
-    write_table(t("customer").select("c_custkey", "c_name", "c_acctbal"), path, "customer")
-    return spark.read.format("sqlite_file").options(path=path, table="customer", partitions="4").load()
+    with tempfile.TemporaryDirectory() as d:
+        path = os.path.join(d, "store.db")
+        write_table(t("customer").select("c_custkey", "c_name", "c_acctbal"), path, "customer")
+        sent = ship_file(spark, path)
+    return spark.read.format("sqlite_file").options(path=sent, shipped="true", table="customer", partitions="4").load()

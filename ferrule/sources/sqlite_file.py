@@ -3,16 +3,26 @@
     spark.dataSource.register(SqliteSource)
     spark.read.format("sqlite_file").option("path", file).option("table", name).load()
 
-The file must lie where every executor can open it. Tables WITHOUT ROWID are read as one range.
+The file must lie where every executor can open it; one that only the driver can open is sent to them first:
+
+    .option("path", ship_file(spark, file)).option("shipped", "true")
+
+Tables WITHOUT ROWID are read as one range.
 """
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import sqlite3
+import tempfile
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ferrule.functions.operators import affinity
@@ -32,8 +42,8 @@ class Range(InputPartition):
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, path: str, table: str, kinds: list[str], partitions: int) -> None:
-        self.path, self.table, self.kinds, self.n = path, table, kinds, partitions
+    def __init__(self, path: str, table: str, kinds: list[str], partitions: int, shipped: bool = False) -> None:
+        self.path, self.table, self.kinds, self.n, self.shipped = path, table, kinds, partitions, shipped
 
     def partitions(self) -> list[Range]:
         with _connect(self.path) as c:
@@ -49,7 +59,7 @@ class SqliteReader(DataSourceReader):
     def read(self, part: Range) -> Iterator[tuple]:
         where = "" if part.low is None else f" WHERE rowid >= {part.low} AND rowid < {part.high}"
         turn = {"bigint": lambda v: int(v) if isinstance(v, (int, float)) else None, "double": lambda v: float(v) if isinstance(v, (int, float)) else None, "boolean": bool, "string": str, "binary": lambda v: v if isinstance(v, bytes) else str(v).encode()}
-        with _connect(self.path) as c:
+        with _connect(SparkFiles.get(os.path.basename(self.path)) if self.shipped else self.path) as c:
             for row in c.execute(f"SELECT * FROM {_name(self.table)}{where}"):
                 yield tuple(None if v is None else turn[k](v) for v, k in zip(row, self.kinds))
 
@@ -68,7 +78,7 @@ class SqliteSource(DataSource):
         return ", ".join(f"`{n}` {k}" for n, k in self._columns())
 
     def reader(self, schema) -> SqliteReader:
-        return SqliteReader(self.options["path"], self.options["table"], [k for _, k in self._columns()], int(self.options.get("partitions", "8")))
+        return SqliteReader(self.options["path"], self.options["table"], [k for _, k in self._columns()], int(self.options.get("partitions", "8")), self.options.get("shipped", "").lower() == "true")
 
 
 def write_table(df: DataFrame, path: str, table: str) -> int:
@@ -81,3 +91,17 @@ def write_table(df: DataFrame, path: str, table: str) -> int:
         c.execute(f"CREATE TABLE {_name(table)} ({', '.join(f'{_name(n)} {kinds.get(k, k)}' for n, k in df.dtypes)})")
         cursor = c.executemany(f"INSERT INTO {_name(table)} VALUES ({', '.join('?' * len(df.columns))})", (tuple(r) for r in df.toLocalIterator()))
         return cursor.rowcount
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver's machine, as it is now, to all executors, later ones included; the path of the copy
+    that Spark's file server sends and that goes with this process. Each machine holds the whole file.
+    """
+    d = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    sent = os.path.join(d, f"{uuid.uuid4().hex}.db")  # names are unique in an application
+    with _connect(path) as c, sqlite3.connect(sent) as copy:
+        c.backup(copy)
+    copy.close()
+    spark.sparkContext.addFile(sent)
+    return sent

@@ -1,5 +1,6 @@
 """Database statements, constraints, triggers, transactions, pragmas and files."""
 
+import os
 import sqlite3
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ferrule.database import ColumnDef, ConstraintError, Database, ForeignKey, Index, Table, Trigger
 from ferrule.operators import relational as rel
-from ferrule.sources.sqlite_file import SqliteSource, write_table
+from ferrule.sources.sqlite_file import Range, SqliteReader, SqliteSource, ship_file, write_table
 from ferrule.streaming import windows as stream
 
 
@@ -266,3 +267,17 @@ def test_row_ids_of_more_rows_than_the_bounds_are_sampled_from(spark):
     assert [r.k for r in got] == [k for k in range(20_000) if k % 3 == 0] + [k for k in range(20_000) if k % 3]
     assert [r.a for r in got] == list(range(1, 20_001))
     assert [r.d for r in got] == list(range(20_000, 0, -1))
+
+
+def test_sqlite_files_of_the_driver_are_sent_to_executors(spark, tmp_path):
+    path = f"{tmp_path}/y.db"
+    write_table(spark.range(100).selectExpr("id", "'n' || id AS name"), path, "t")
+    sent = ship_file(spark, path)
+    os.remove(path)
+    want = [(k, f"n{k}") for k in range(100)]
+    spark.dataSource.register(SqliteSource)
+    df = spark.read.format("sqlite_file").options(path=sent, shipped="true", table="t", partitions="3").load()
+    assert sorted(tuple(r) for r in df.collect()) == want
+    elsewhere = SqliteReader(f"/nowhere/{os.path.basename(sent)}", "t", ["bigint", "string"], 3, True)  # as on a machine without the driver's folders
+    parts = spark.sparkContext.parallelize([Range(k, k + 50) for k in (1, 51)], 2)
+    assert sorted(parts.flatMap(lambda r: list(elsewhere.read(r))).collect()) == want
