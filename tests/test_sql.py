@@ -144,3 +144,25 @@ def test_triggers_can_stop_a_statement(db):
         db.execute("UPDATE users SET age = age * 10 WHERE id = 1")
     db.execute("UPDATE users SET age = 99 WHERE id = 1; UPDATE users SET name = 'cy' WHERE id = 3; DROP TRIGGER stop; UPDATE users SET age = 101 WHERE id = 1")
     assert q(db, "SELECT age, name FROM users WHERE id <> 2 ORDER BY id") == [(101, "ann"), (None, "cy")]
+
+
+NOT_IN = "CREATE TABLE a (id INTEGER PRIMARY KEY, x INTEGER, g INTEGER); INSERT INTO a VALUES (1, 1, 1), (2, 2, 1), (3, NULL, 2), (4, 4, 2), (5, 5, 2); CREATE TABLE b (y INTEGER, k INTEGER); INSERT INTO b VALUES (1, 1), (5, 1), (NULL, 2), (5, 3)"
+
+
+@pytest.mark.parametrize(("where", "want"), [("k <> 2", [2, 4]), ("true", [2]), ("k > 3", [1, 2, 3, 4, 5])])
+def test_not_in_beside_an_or_joins_by_equality(spark, where, want):
+    db = Database(spark)
+    db.execute(NOT_IN)
+    for text in (f"id = 2 OR x NOT IN (SELECT y FROM b WHERE {where})", f"id = 2 OR NOT (x IN (SELECT y FROM b WHERE {where}))"):
+        found = db.query(f"SELECT id FROM a WHERE {text}")
+        assert sorted(r.id for r in found.collect()) == want
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_not_in_is_null_where_unknown(spark):
+    db = Database(spark)
+    db.execute(NOT_IN)
+    given = lambda sql: [r.n for r in db.query(sql).orderBy("id").collect()]
+    assert given("SELECT id, x NOT IN (SELECT y FROM b) AS n FROM a") == [False, None, None, None, False]
+    assert given("SELECT id, x NOT IN (SELECT y FROM b WHERE k <> 2) AS n FROM a") == [False, True, None, True, False]
+    assert sorted(r.id for r in db.query("SELECT id FROM a WHERE id = 2 OR x NOT IN (SELECT y FROM b WHERE b.k = a.g)").collect()) == [2]
