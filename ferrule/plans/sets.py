@@ -15,7 +15,7 @@ QUERIES, ORACLES = R.queries, R.oracles
 @R.add("order_nulls", "SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END ASC NULLS FIRST, c_custkey) AS a, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS LAST, c_custkey DESC NULLS LAST) AS d FROM customer")
 def _(t):
     x, k = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")), F.col("c_custkey")
-    up = rel.with_rowid(t("customer").select("c_custkey", "c_acctbal"), [rel.order_key(x), k], "a")
+    up = rel.with_rowid(t("customer").select("c_custkey", "c_acctbal"), [rel.order_key(x), rel.order_key(k, nulls="last")], "a")  # its SQL's default for the second key
     return rel.with_rowid(up, [rel.order_key(x, True), rel.order_key(k, True)], "d").drop("c_acctbal")
 
 

@@ -44,3 +44,12 @@ def test_query(spark, duck, sf, name):
     names = [d[0] for d in want.description]
     assert sorted(df.columns) == sorted(names)
     assert rows(df.columns, got) == rows(names, want.fetchall())
+
+
+def test_order_nulls_with_a_null_key(spark, sf, tmp_path):
+    c = duckdb.connect()
+    c.execute(f"CREATE TABLE customer AS SELECT * REPLACE (CASE WHEN c_custkey <> 5 THEN c_custkey END AS c_custkey, CASE WHEN c_custkey NOT IN (5, 7) THEN c_acctbal END AS c_acctbal) FROM read_parquet('{sf}/customer.parquet')")
+    c.execute(f"COPY customer TO '{tmp_path}/customer.parquet' (FORMAT PARQUET)")
+    df = catalogue.QUERIES["order_nulls"](spark, str(tmp_path))
+    want = c.execute(catalogue.ORACLES["order_nulls"])
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in want.description], want.fetchall())
