@@ -281,3 +281,10 @@ def test_sqlite_files_of_the_driver_are_sent_to_executors(spark, tmp_path):
     elsewhere = SqliteReader(f"/nowhere/{os.path.basename(sent)}", "t", ["bigint", "string"], 3, True)  # as on a machine without the driver's folders
     parts = spark.sparkContext.parallelize([Range(k, k + 50) for k in (1, 51)], 2)
     assert sorted(parts.flatMap(lambda r: list(elsewhere.read(r))).collect()) == want
+
+
+def test_sqlite_files_with_an_empty_table(spark, tmp_path):
+    path = f"{tmp_path}/z.db"
+    assert write_table(spark.range(0), path, "t") <= 0
+    spark.dataSource.register(SqliteSource)
+    assert spark.read.format("sqlite_file").options(path=path, table="t").load().collect() == []
